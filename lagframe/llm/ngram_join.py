@@ -160,9 +160,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
     table = store(_prefixes(docs, k, t, frequency_levels(docs, k)))
     classes = store(table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = table.join(classes.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d and doc_id = rep")).dropDuplicates(["rep"])
-    lists = reps.select("rep", "n", "hist", F.posexplode("tokens").alias("pos", "token"))
+    lists = reps.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = reps.select("rep", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").drop("m")
-    lists = store(lists.join(shared, "token"))
+    lists = store(lists.join(shared, "token").join(table.select(F.col("doc_id").alias("rep"), "hist").dropDuplicates(["rep"]), "rep"))
     sets = store(_sets(docs.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
 
     links = comps = None

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language_id import language_id
+from .media import media_digest
 from .ngram_join import ngram_jaccard_join
+from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +20,28 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold="0.9")
 
 
+def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_media_jpeg": op3_media_jpeg,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 #: Lower-cases A-Z only, as the operator does.
@@ -27,7 +51,7 @@ SQL = {
     "op1_ngram_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-                  ELSE list_transform(range(1, len(ws) - 1), i -> array_to_string(ws[i:i+2], ' ')) END) AS sh FROM w),
+                  ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')) END) AS sh FROM w),
         cls AS (SELECT sh, min(doc_id) AS class_id, len(sh) AS n FROM (SELECT doc_id, list_sort(sh) AS sh FROM s) GROUP BY sh),
         e AS (SELECT class_id, n, unnest(sh) AS g FROM cls),
         pairs AS (SELECT a.class_id AS a, b.class_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS same
@@ -39,4 +63,15 @@ SQL = {
                CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE comp.component_id END AS component_id,
                CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE cls.class_id END AS class_id
         FROM s LEFT JOIN cls ON list_sort(s.sh) = cls.sh LEFT JOIN comp ON comp.class_id = cls.class_id""",
+    "op8_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM w WHERE len(ws) >= 50),
+        g2 AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) AS h FROM g),
+        o AS (SELECT h, min(doc_id) AS first FROM g2 GROUP BY h),
+        c AS (SELECT DISTINCT g2.doc_id, unnest(range(g2.i, g2.i + 50)) AS p FROM g2 JOIN o ON g2.h = o.h AND o.first < g2.doc_id),
+        d AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN ps IS NULL THEN ws
+                   ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN d ON w.doc_id = d.doc_id""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -28,6 +29,18 @@ def _fs_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+@contextlib.contextmanager
+def _shuffles_end_with_their_query(spark: SparkSession):
+    """The table replaces its query's shuffle files, so Spark may delete them at once instead of when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: the lineage is cut, and a lost executor costs a reread.
 
@@ -35,7 +48,8 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_end_with_their_query(spark):
+        df.write.parquet(path)
     fs, p = _fs_path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
