@@ -1,6 +1,6 @@
 """Linear-chain conditional random fields over words, trained and applied with numpy.
 
-A word's features are hashed: affixes of 2 to 5 bytes, the word itself, its byte trigrams, and its place in a learned
+A word's features are hashed: prefixes of 2 to 8 and suffixes of 2 to 4 bytes, the word itself, its byte trigrams, and its place in a learned
 lexicon. Transitions between neighbouring words' labels are learned too. A chain is at most ``CHAIN`` consecutive words
 of one text; a text's chains cover all of it. Words are taken with A-Z lower-cased.
 """
@@ -16,8 +16,9 @@ import pyarrow as pa
 from . import words as W
 
 CHAIN, TABLE_BITS = 64, 18
-_AFFIXES = (2, 3, 4, 5)
-_KIND = {k: np.uint64(x) for k, x in zip(("p2", "p3", "p4", "p5", "s2", "s3", "s4", "s5", "word", "tri", "lex"), W.mix64(np.arange(1, 12, dtype=np.uint64)), strict=True)}
+_PREFIXES, _SUFFIXES = (2, 3, 4, 5, 6, 7, 8), (2, 3, 4)
+_KINDS = [*(f"p{k}" for k in _PREFIXES), *(f"s{k}" for k in _SUFFIXES), "word", "tri", "lex"]
+_KIND = dict(zip(_KINDS, W.mix64(np.arange(1, len(_KINDS) + 1, dtype=np.uint64)), strict=True))
 
 
 @dataclass
@@ -41,9 +42,8 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.n
     """Slots of all words' features end to end, and where each word's begin."""
     n = len(starts)
     fixed = [_slot(whole, "word")]
-    for k in _AFFIXES:
-        fixed.append(_slot(W.span_hashes(data, starts, np.minimum(starts + k, ends)), f"p{k}"))
-        fixed.append(_slot(W.span_hashes(data, np.maximum(ends - k, starts), ends), f"s{k}"))
+    fixed += [_slot(W.span_hashes(data, starts, np.minimum(starts + k, ends)), f"p{k}") for k in _PREFIXES]
+    fixed += [_slot(W.span_hashes(data, np.maximum(ends - k, starts), ends), f"s{k}") for k in _SUFFIXES]
     at = np.searchsorted(lexicon, whole)
     known = (at < len(lexicon)) & (lexicon[np.minimum(at, max(0, len(lexicon) - 1))] == whole) if len(lexicon) else np.zeros(n, bool)
     place = np.zeros(n, np.uint64)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .language_id import language_id
 from .media import media_digest
 from .ngram_join import ngram_jaccard_join
+from .packing import packing
 from .substring_dedup import substring_dedup
+from .token_counts import context_limits, length_histogram
 from .toxicity import toxicity
 
 
@@ -32,6 +34,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_limits(length_histogram(table(spark, sf_dir, "documents")))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -41,6 +51,8 @@ QUERIES = {
     "op3_media_jpeg": op3_media_jpeg,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
+from . import words as W
 from .language_id import fold
 
 #: Bounds of the labelled sample that the driver learns from: rows a label, characters a text.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 16384
 THRESHOLD = 0.7
-#: A term marks toxic words if so many sampled texts that no earlier term explains hold it, and this share of all that hold it is toxic.
-LEAST_TEXTS, LEAST_SHARE = 4, 0.95
-_STEMS = (4, 5, 6)
+#: A term marks toxic words only if at least so many sampled texts hold it.
+LEAST_TEXTS = 5
+_STEMS, _EDGES = (4, 5, 6, 7, 8), b".,;:!?\"'()"
 
 
 @dataclass
@@ -32,39 +34,43 @@ def _terms(word: bytes) -> set[bytes]:
     return {word + b"$", *(word[:k] for k in _STEMS if len(word) > k)}
 
 
+def _unlike(texts: list[list[bytes]]) -> list[int]:
+    """Indexes of texts that are no near copies of earlier ones: none of four minima over hashes of their 3-word runs was seen."""
+    seen: set[int] = set()
+    out = []
+    seeds = W.mix64(np.arange(1, 5, dtype=np.uint64))
+    for i, words in enumerate(texts):
+        runs = {b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
+        hashes = np.array([zlib.crc32(r) << 32 | zlib.adler32(r) for r in runs], np.uint64)
+        own = {int(W.mix64(hashes ^ seed).min()) for seed in seeds}
+        if seen.isdisjoint(own):
+            out.append(i)
+        seen |= own
+    return out
+
+
 def offending_terms(texts: list[str], toxic: list[int]) -> set[bytes]:
-    """Words (ending in ``$``) and stems that explain the toxic texts, chosen greedily by the texts not explained so far.
+    """Words (ending in ``$``) and stems that toxic texts hold and clean ones don't, beyond chance.
 
-    Equal texts count once. So a text copied a thousand times brings in one term, not all its words.
+    Near copies count once, so that a text copied a thousand times doesn't bring in all its words. A term's texts must all
+    be toxic but for one in fifty, and so many that not one of all candidate terms would be expected to get there by chance.
     """
-    from .words import lower_ascii
-
-    where: dict[bytes, set[int]] = {}
+    words = [_lowered(t) for t in texts]
+    where: dict[bytes, int] = {}
     clean: dict[bytes, int] = {}
-    pairs = sorted(set(zip(texts, toxic, strict=True)))
-    bad = sum(t for _, t in pairs)
-    for i, (text, t) in enumerate(pairs):
-        raw = lower_ascii(np.frombuffer(text.encode(), np.uint8)).tobytes() if text else b""
-        for term in set().union(*(_terms(w.strip(b".,;:!?\"'()")) for w in set(raw.split()))) if raw else ():
-            if t:
-                where.setdefault(term, set()).add(i)
-            else:
-                clean[term] = clean.get(term, 0) + 1
-    weight = bad / max(1, len(pairs) - bad)
-    fit = {t: s for t, s in where.items() if len(s) >= LEAST_TEXTS and len(s) >= LEAST_SHARE * (len(s) + weight * clean.get(t, 0))}
-    out: set[bytes] = set()
-    while fit:
-        best = max(fit, key=lambda t: (len(fit[t]) * (1 - 0.2 * (clean.get(t, 0) > 0)), t.endswith(b"$"), len(t), t))
-        done = set(fit.pop(best))
-        if len(done) < LEAST_TEXTS:
-            break
-        out.add(best)
-        fit = {t: s for t in fit if len(s := fit[t] - done) >= LEAST_TEXTS}
-    return out
+    kept = _unlike(words)
+    for i in kept:
+        into = where if toxic[i] else clean
+        for term in set().union(*(_terms(w.strip(_EDGES)) for w in set(words[i]))) if words[i] else ():
+            into[term] = into.get(term, 0) + 1
+    bad = sum(toxic[i] for i in kept)
+    odds = -np.log(max(bad, 1) / max(len(kept), bad + 1))
+    least = max(LEAST_TEXTS, (np.log(max(1, len(where))) + 3) / odds)
+    return {t for t, n in where.items() if n >= least and n >= 50 * clean.get(t, 0)}
 
 
 def _matches(word: bytes, terms: set[bytes]) -> bool:
-    return not terms.isdisjoint(_terms(word.strip(b".,;:!?\"'()")))
+    return not terms.isdisjoint(_terms(word.strip(_EDGES)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
@@ -91,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
     for piece in crf.pieces(pa.array(texts, pa.string()), none, np.zeros(0, int)):
         tag = np.concatenate([tags[d] for d in range(*piece.rows)])
         lexicon = np.union1d(lexicon, piece.hashes[tag == 1])
-    tagger = crf.train(texts, tags, [0, 1], lexicon, np.zeros(len(lexicon), int), epochs=5)
+    tagger = crf.train(texts, tags, [0, 1], lexicon, np.zeros(len(lexicon), int), epochs=3, rate=0.5)
     x, y = [], np.array(toxic, float)
     for piece in crf.pieces(pa.array(texts, pa.string()), tagger.lexicon, tagger.entry):
         x.append(_summary(crf.forward_backward(piece, tagger)[0][:, 1], piece.ranges))
@@ -99,9 +105,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
 
 
 def _lowered(text: str) -> list[bytes]:
-    from .words import lower_ascii
-
-    return lower_ascii(np.frombuffer(text.encode(), np.uint8)).tobytes().split() if text else []
+    return W.lower_ascii(np.frombuffer(text.encode(), np.uint8)).tobytes().split() if text else []
 
 
 def _summary(p: np.ndarray, ranges: np.ndarray) -> np.ndarray:
