@@ -20,8 +20,11 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -
     the transitions know of switches. The lexicon has the words that one language accounts for at least nine times in ten.
     None without any labelled text.
     """
-    nearest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = docs.where(f"lang is not null and length(text) between 1 and {chars}").select("doc_id", "lang").withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= rows)
+    fit = docs.where(f"lang is not null and length(text) between 1 and {chars}").select("doc_id", "lang", F.xxhash64("doc_id").alias("at"))
+    # hashes are uniform, so twice the wanted share of a language's rows is enough but for a vanishing chance, and few
+    share = fit.groupBy("lang").agg((F.lit(2.0 * rows + 100) / F.count("*")).alias("share"))
+    few = fit.join(share, "lang").where(f"at < least(share, 1.0D) * {2.0**64} - {2.0**63} or share >= 1")
+    picked = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("nth") <= rows)
     sample = docs.where(f"length(text) between 1 and {chars}").join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"])
     sample = sorted({tuple(r) for r in sample.select("doc_id", "lang", "text").collect()})
     labels = sorted({lang for _, lang, _ in sample})

@@ -63,6 +63,20 @@ def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np
     return float(best[room]), pattern
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan steps with row exchanges, on one core: a busy driver host makes threaded linear algebra crawl."""
+    m = len(a)
+    both = np.concatenate([a, np.eye(m)], axis=1)
+    for k in range(m):
+        r = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, r]] = both[[r, k]]
+        both[k] /= both[k, k]
+        rest = both[:, k].copy()
+        rest[k] = 0
+        both -= rest[:, None] * both[k]
+    return both[:, m:]
+
+
 def patterns(size: np.ndarray, demand: np.ndarray, room: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
     """(items of each size, how often) that together hold ``demand[i]`` items of ``size[i]`` or more, in few bins of ``room``.
 
@@ -74,22 +88,22 @@ def patterns(size: np.ndarray, demand: np.ndarray, room: int, rounds: int = 4000
     m = len(size)
     basis = np.diag(room // size).astype(np.float64)
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
+    x = np.einsum("ij,j->i", inverse, demand)
     lowest = 0.0  # the relaxation's value is at least this: sum of dual prices over the best column's worth, or sheer volume
     for turn in range(rounds):
         dual = inverse.sum(axis=0)
         worth, column = _knapsack(np.maximum(dual, 0), size, room)
         lowest = max(lowest, float(dual @ demand) / max(worth, 1.0), float(size @ demand) / room)
-        if worth <= 1 + 1e-7 or x.sum() <= lowest * (1 + CLOSE):
+        if worth <= 1 + 1e-7 or x.sum() <= lowest * (1 + CLOSE) + 0.9:  # or less than one bin is left to win
             break
-        step = inverse @ column
+        step = np.einsum("ij,j->i", inverse, column.astype(np.float64))
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, x / step, np.inf)
         r = int(ratio.argmin())
         basis[:, r] = column
-        if turn % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0)
+        if turn % 200 == 199:
+            inverse = _inverse(basis)
+            x = np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
         else:
             pivot = inverse[r] / step[r]
             inverse -= np.outer(step, pivot)

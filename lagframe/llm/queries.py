@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
+from .ann import nearest
+from .chat import preference_format, stale_reply_pairs
 from .language_id import language_id
 from .media import media_digest
 from .ngram_join import ngram_jaccard_join
@@ -22,6 +25,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold="0.9")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labelled, {"good": 0.85, "low": 0.10, "toxic": 0.05})
+
+
 def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
@@ -46,14 +54,26 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_format(stale_reply_pairs(table(spark, sf_dir, "conversations"))).drop("chosen_mask", "rejected_mask")
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_mixing": op2_mixing,
     "op3_media_jpeg": op3_media_jpeg,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_chat_preference": op9_chat_preference,
+    "op10_ann": op10_ann,
 }
 
 #: Lower-cases A-Z only, as the operator does.

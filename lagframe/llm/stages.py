@@ -2,4 +2,57 @@
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import mixing, packing, toxicity
+from .ngram_join import ngram_jaccard_join
+from .scratch import store
+from .substring_dedup import substring_dedup
+
+#: Wanted token shares of the mixing stage. Good text is asked for a little more than it has, so that it stays whole.
+WEIGHTS, BUDGET = {"good": 0.97, "low": 0.03}, 1.1
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity tagger, learned from this stage's labelled documents, rejects go."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    bad = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays; rows without a shingle stay."""
+    ids = ngram_jaccard_join(docs, k=5, threshold="0.8")
+    others = ids.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document with a smaller id has go; a document without any word left goes too."""
+    cut = substring_dedup(docs).where("n_removed > 0").select("doc_id", "h", "kept").dropDuplicates(["doc_id", "h"])
+    own = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).join(cut, ["doc_id", "h"], "left").where("kept is null or kept <> ''")
+    text = F.coalesce("kept", "text")
+    return own.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(docs.columns)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says: likely low-quality text is thinned, clean text is kept."""
+    rated = mixing.mix(docs, mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), WEIGHTS, BUDGET)
+    copies = store(rated.groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies")))
+    own = docs.withColumn("text_hash", F.xxhash64("text")).join(copies, ["doc_id", "text_hash"])
+    return own.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' ids in sequences of 2048."""
+    return packing.packing(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix_to_weights),
+    ("packing", pack_sequences),
+]
