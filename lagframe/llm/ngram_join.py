@@ -138,7 +138,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", rounds: int = 2) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", rounds: int = 1) -> DataFrame:
     """Link documents whose sets of distinct ``k``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
     Returns one row per row of ``docs`` that has an id: ``doc_id``, ``n_shingles`` (set size), ``component_id`` (smallest
@@ -163,7 +163,6 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
     lists = reps.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = reps.select("rep", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").drop("m")
     lists = store(lists.join(shared, "token").join(table.select(F.col("doc_id").alias("rep"), "hist").dropDuplicates(["rep"]), "rep"))
-    sets = store(_sets(docs.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
 
     links = comps = None
     for turn in range(rounds + 1):
@@ -174,11 +173,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
             open_tokens = listed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rep").alias("last")).where("lo < hi").select("token", "last")
             listed = listed.join(open_tokens, "token")
         hubs = listed.where("rep = hub" if turn == 0 else "rep = last")
-        pairs = _candidates(listed, hubs, t, "l.comp <> r.comp") if turn < rounds else _candidates(listed, listed, t, "l.rep < r.rep and l.comp <> r.comp")
+        pairs = store(_candidates(listed, hubs, t, "l.comp <> r.comp") if turn < rounds else _candidates(listed, listed, t, "l.rep < r.rep and l.comp <> r.comp"))
+        if pairs.isEmpty():
+            continue
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = store(_sets(docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
         found = store(_verified(pairs, sets, t))
+        drop(pairs, sets)
         links = found if links is None else store(links.union(found))
         comps = connected_components(links)
-    drop(sets, lists)
+    drop(lists)
+    if comps is None:
+        comps = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = table.select("doc_id", "n", "digest").join(named, F.expr("digest = d"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
