@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +77,9 @@ def read_csv2(spark: SparkSession, path: str | list[str], decimals: tuple[str, .
 def read_year_shards(spark: SparkSession, pattern: str, years: range | list[int], decimals: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
     """One file a year, named by ``pattern`` with ``{year}``, read as one scan with the year of each row from its file's name."""
     df = read_csv2(spark, [pattern.format(year=y) for y in years], (), schema)
-    df = df.withColumn("year", F.regexp_extract(F.input_file_name(), r"(\d{4})[^/\d]*$", 1).cast("int"))
+    path = F.url_decode(F.input_file_name())
+    name = F.regexp_extract(path, r"([^/]+?)(?:/part-[^/]*)?$", 1)  # a shard may be a folder of parts
+    df = df.withColumn("year", F.regexp_extract(name, r"(\d{4})\D*$", 1).try_cast("int"))
     return df.withColumns({c: decimal_comma(F.col(c)) for c in decimals}) if decimals else df
 
 
@@ -99,16 +103,26 @@ def read_keyvalue_records(spark: SparkSession, path: str | list[str], keys: list
 
 
 def validate_json_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file``, ``valid``: whether each file's whole text is JSON."""
+    """``file``, ``valid``: whether each file's whole text is one JSON value.
+
+    The parser stops behind the first value, so the text must also parse as an object's value and as an array's element:
+    no rest can close both.
+    """
     whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.input_file_name().alias("file"), F.try_parse_json("value").isNotNull().alias("valid"))
+    forms = ["value", F.concat(F.lit('{"a":'), "value", F.lit("}")), F.concat(F.lit("["), "value", F.lit("]"))]
+    valid = reduce(lambda a, b: a & b, [F.try_parse_json(f).isNotNull() for f in forms])
+    return whole.select(F.input_file_name().alias("file"), valid.alias("valid"))
 
 
 def verify_checksums(spark: SparkSession, files: str, manifests: str) -> DataFrame:
-    """``name``, ``expected``, ``actual``, ``ok`` of landed files against ``.md5`` manifests (a digest, then the file's name)."""
-    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    actual = spark.read.format("binaryFile").load(files).select(name(F.col("path")).alias("name"), F.md5("content").alias("actual"))
-    lines = spark.read.text(manifests).select(F.lower(F.regexp_extract("value", r"([0-9a-fA-F]{32})", 1)).alias("expected"), F.regexp_replace(name(F.input_file_name()), r"\.md5$", "").alias("name")).where("expected <> ''")
+    """``name``, ``expected``, ``actual``, ``ok`` of landed files against MD5 manifests.
+
+    A manifest line is ``MD5(name)= digest`` or ``digest  name``, or a digest alone in a file called ``name.md5``.
+    """
+    base = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    actual = spark.read.format("binaryFile").load(files).select(base(F.col("path")).alias("name"), F.md5("content").alias("actual"))
+    stated = [F.nullif(F.regexp_extract("value", r, 1), F.lit("")) for r in (r"\(([^()]+)\)", r"[0-9a-fA-F]{32}\s+\*?(\S+)\s*$")]
+    lines = spark.read.text(manifests).select(F.lower(F.regexp_extract("value", r"\b([0-9a-fA-F]{32})\b", 1)).alias("expected"), F.coalesce(*stated, F.regexp_replace(base(F.input_file_name()), r"\.md5$", "")).alias("name")).where("expected <> ''")
     return lines.join(actual, "name", "left").withColumn("ok", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
 
 
