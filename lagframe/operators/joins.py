@@ -24,7 +24,7 @@ def year_lookup(df: DataFrame, dim: DataFrame, key: str, year: Column, last_year
     """Point-in-time attributes: those of (key, year) in a long dimension ``(key, year, ...)``; years after the last one take
     the last one's with ``clamp``. Other years have nulls."""
     wanted = dim.select(F.col(key).alias("_k"), F.col("year").alias("_y"), *columns)
-    asked = df.withColumn("_year", F.least(year, F.lit(last_year)) if clamp else year)
+    asked = df.withColumn("_year", F.when(year > last_year, last_year).otherwise(year) if clamp else year)
     return asked.join(wanted, (F.col(key) == F.col("_k")) & (F.col("_year") == F.col("_y")), "left").drop("_k", "_y", "_year")
 
 
