@@ -16,6 +16,8 @@ from .scratch import drop, store
 
 #: The frequency sketch: so many counters, sent in so many slices. Its size never depends on the data.
 SKETCH_BITS, SKETCH_SLICES = 20, 256
+#: One shingle in so many (by hash) is a front shingle, whose document frequency is counted exactly.
+FRONT = 4
 #: Counters of the histogram that the suffix filter compares; each saturates at 255.
 HISTOGRAM = 16
 
@@ -64,6 +66,36 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _is_front(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(8)) % np.uint64(FRONT) == 0
+
+
+def _key(own: np.ndarray) -> int:
+    """64 bits that name a set of shingles."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _lone_fronts(docs: DataFrame, k: int) -> DataFrame:
+    """``key``, ``lone``: how many front shingles of a set occur in no other set. No other set can share those."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, hashes, at in _shingles(batch, k):
+                tokens, keys = [], []
+                for d in range(j - i):
+                    own = np.unique(hashes[at[d] : at[d + 1]])
+                    if len(own):
+                        tokens.append(own[_is_front(own)].view(np.int64))
+                        keys.append(np.full(len(tokens[-1]), _key(own), np.int64))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(keys))], ["token", "key"])
+
+    fronts = docs.select("text").mapInArrow(run, "token long, key long").groupBy("token").agg(F.min("key").alias("key"), F.max("key").alias("other"))
+    return fronts.where("key = other").groupBy("key").agg(F.count("*").cast("int").alias("lone"))
+
+
 def _prefixes(docs: DataFrame, k: int, t: Fraction, levels: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -73,21 +105,25 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, levels: np.ndarray) -> DataF
         for batch in batches:
             ids = batch.column("doc_id")
             for i, j, hashes, at in _shingles(batch, k):
-                n, digest, tokens, hist = [], [], [], []
+                out: list[list] = [[] for _ in range(7)]
                 rank = shared.value[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 for d in range(j - i):
                     own, first = np.unique(hashes[at[d] : at[d + 1]], return_index=True)
-                    n.append(len(own))
-                    if not len(own):
-                        digest.append(None), tokens.append(None), hist.append(None)
-                        continue
-                    digest.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    length = len(own) - -(-t.numerator * len(own) // t.denominator) + 1
-                    tokens.append(own[np.argsort(rank[at[d] : at[d + 1]][first], kind="stable")[:length]].view(np.int64))
-                    hist.append(np.minimum(np.bincount((own & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(hist, pa.binary())], ["doc_id", "n", "digest", "tokens", "hist"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, tokens array<long>, hist binary")
+                    row = [len(own), *[None] * 6]
+                    if len(own):
+                        front = _is_front(own)
+                        order = np.argsort(rank[at[d] : at[d + 1]][first], kind="stable")
+                        plain = order[~front[order]]
+                        length = len(own) - -(-t.numerator * len(own) // t.denominator) + 1
+                        tokens = own[plain[:length]] if length <= len(plain) else np.concatenate([own[plain], own[front]])
+                        hist = np.minimum(np.bincount((own & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8)
+                        row[1:] = xxhash.xxh3_128_digest(own.tobytes()), _key(own), length, min(length, len(plain)), tokens.view(np.int64), hist.tobytes()
+                    for o, x in zip(out, row, strict=True):
+                        o.append(x)
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *map(pa.array, out, kinds)], ["doc_id", "n", "digest", "key", "length", "plain", "tokens", "hist"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, key long, length int, plain int, tokens array<long>, hist binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -148,9 +184,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
     empty and linked with nothing. Rows with a null id are left out; a repeated row is returned as often as it occurs.
     Columns other than ``doc_id`` and ``text`` are ignored.
 
-    1. A sketch of fixed size counts every shingle of the corpus; a shingle's place in a document is by (count, hash).
+    1. Shingles are ordered rare first: front shingles (one hash in four) that one set alone has, then the other hashes by
+       the level of a sketch of fixed size that counts every shingle of the corpus, then the rest of the front.
     2. Equal sets become one class. Only classes are joined, so exact copies never make pairs.
-    3. A class is listed under the shingles of its prefix, |x| - ceil(t|x|) + 1 long. Shingles of one class are dropped.
+    3. A class is listed under the shingles of its prefix, |x| - ceil(t|x|) + 1 long. Shingles that no other set has need no
+       list, so most texts have none at all. Listed shingles of one class are dropped.
     4. ``rounds`` times every listed class is compared with one hub of each of its shingles, and links become components;
        classes of one component need no further comparison. So a group of n near copies costs n comparisons, not n * n / 2.
     5. All pairs still in different components are compared, whatever their number: no link between components is lost.
@@ -159,11 +197,15 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     table = store(_prefixes(docs, k, t, frequency_levels(docs, k)))
     classes = store(table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    lone = _lone_fronts(docs, k)
     reps = table.join(classes.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d and doc_id = rep")).dropDuplicates(["rep"])
-    lists = reps.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = reps.select("rep", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").drop("m")
-    lists = store(lists.join(shared, "token").join(table.select(F.col("doc_id").alias("rep"), "hist").dropDuplicates(["rep"]), "rep"))
-
+    open_reps = reps.join(lone, "key", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).withColumn("more", F.col("length") - F.col("lone")).where("more > 0")
+    # positions of front shingles behind the others aren't known; 0 makes the positional filter let them pass
+    listed = open_reps.select("rep", "n", "hist", "plain", "lone", F.posexplode(F.expr("if(more > plain, tokens, slice(tokens, 1, more))")).alias("at", "token"))
+    listed = store(listed.select("rep", "n", "hist", "token", F.expr("if(at < plain, lone + at, 0)").alias("pos")))
+    shared = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").drop("m")
+    lists = store(listed.join(shared, "token"))
+    drop(listed)
     links = comps = None
     for turn in range(rounds + 1):
         listed = lists.withColumn("comp", F.col("rep"))

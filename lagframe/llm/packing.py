@@ -17,12 +17,16 @@ CAPACITY, END_ID = 2048, 1
 STEP = 8
 #: The relaxation counts as solved this close to its lower bound.
 CLOSE = 5e-4
+#: Padding to tokens from which rests are cut on, and how many halvings of the capacity they can be cut at.
+PADDING, CUTS = 0.02, 6
 #: Rows of one length that one task ranks at most, about.
 RANKED = 20_000
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Cut each document's ids, with id 1 behind them, into full pieces and a rest: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``."""
+    """Cut each document's ids, with id 1 behind them, into full pieces and a rest: ``doc_id``, ``start``, ``length``,
+    ``ids_crc32``, ``doc_tokens``. A rest can be cut on (:func:`cut`): ``heads`` has the checksums of its parts of half, a
+    quarter, ... of the capacity (null where the length lacks that binary digit), ``tails`` of what is left behind each."""
     path = path or K.default_path()
 
     def run(batches):
@@ -36,9 +40,58 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                 start = (np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)) * capacity
                 length = np.minimum(capacity, total[of] - start)
                 crc = [zlib.crc32(ids[a : a + n]) for a, n in zip((at[of] + start).tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(of)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[of])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+                heads, tails = [], []
+                for a, n in zip((at[of] + start).tolist(), length.tolist(), strict=True):
+                    if n == capacity:
+                        heads.append(None), tails.append(None)
+                        continue
+                    head, tail, end = [], [], a + n
+                    for size in _halves(capacity):
+                        head.append(zlib.crc32(ids[a : a + size]) if n & size else None)
+                        a += n & size
+                        tail.append(zlib.crc32(ids[a:end]) if a < end else None)
+                    heads.append(head), tails.append(tail)
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(of)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[of]), pa.array(heads, kind), pa.array(tails, kind)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "heads", "tails"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, heads array<long>, tails array<long>")
+
+
+def _halves(capacity: int) -> list[int]:
+    return [capacity >> k for k in range(1, CUTS + 1)]
+
+
+def cut(parts: DataFrame, level: int, capacity: int = CAPACITY) -> DataFrame:
+    """Cut each rest into its binary parts of the first ``level`` halvings of the capacity, and what is left."""
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    if not level:
+        return parts.select(columns)
+    made, before = [], F.lit(0).cast("long")
+    for k, size in enumerate(_halves(capacity)[:level]):
+        has = F.col("length").bitwiseAND(size)
+        made.append(F.when(has > 0, F.struct((F.col("start") + before).alias("start"), F.lit(size).cast("long").alias("length"), F.col("heads")[k].alias("ids_crc32"))))
+        before = before + has
+    left = F.col("length") - before
+    made.append(F.when(left > 0, F.struct((F.col("start") + before).alias("start"), left.alias("length"), F.col("tails")[level - 1].alias("ids_crc32"))))
+    whole = F.array(F.struct("start", "length", "ids_crc32"))
+    each = parts.select("doc_id", "doc_tokens", F.explode(F.when(F.col("heads").isNull(), whole).otherwise(F.array_compact(F.array(*made)))).alias("p"))
+    return each.select("doc_id", "p.*", "doc_tokens").select(columns)
+
+
+def _cut_counts(lengths: dict[int, int], level: int, capacity: int, step: int) -> dict[int, int]:
+    """The histogram of planned sizes that a level of cutting gives."""
+    out: dict[int, int] = {}
+    for n, often in lengths.items():
+        parts = [n & size for size in _halves(capacity)[:level]] if n < capacity else []
+        for part in [*parts, n - sum(parts)]:
+            if part:
+                out[-(-part // step)] = out.get(-(-part // step), 0) + often
+    return out
+
+
+def _plan(counts: dict[int, int], room: int) -> list[tuple[np.ndarray, int]]:
+    own = sorted(x for x in counts if x < room)
+    return patterns(np.array(own, np.int64), np.array([counts[x] for x in own]), room) if own else []
 
 
 def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -131,18 +184,18 @@ def patterns(size: np.ndarray, demand: np.ndarray, room: int, rounds: int = 4000
     return [(np.array(p)[back], n) for p, n in out.items()]
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, step: int = STEP) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, step: int = STEP, plan: list[tuple[np.ndarray, int]] | None = None) -> DataFrame:
     """Give every row of ``parts`` (``length`` from 1 to ``capacity``) a ``sequence_id`` and a gapless ``offset`` in it.
 
     Only the histogram of planned lengths comes to the driver: ``capacity / step`` counts. Rows of one length are ranked by
     salted windows and their ranks are dealt over the patterns' slots, so a length that a third of all rows share is no
-    bottleneck. Read twice: pass a stored table.
+    bottleneck. Read twice: pass a stored table. ``plan`` spares solving again what was solved for the same histogram.
     """
     sized = parts.withColumn("size", F.ceil(F.col("length") / step).cast("int"))
     counts = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity / step rows
     room = capacity // step
     own = np.array(sorted(s for s in counts if s < room), np.int64)
-    plan = patterns(own, np.array([counts[s] for s in own]), room) if len(own) else []
+    plan = _plan(counts, room) if plan is None else plan
     slots: dict[int, list[tuple[int, ...]]] = {room: [(0, 1, 0, 0)]}
     base = counts.get(room, 0)
     for items, often in plan:
@@ -185,7 +238,18 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, step: int = STEP) -> DataFr
 def packing(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Pack all documents into sequences of at most 2048 ids, one row a piece.
 
-    A null or empty text is the single id 1. Every row of ``docs`` is a document of its own, repeated ids and null ids
-    included; other columns are ignored. The 50,257-id byte-level BPE is the default; ``path`` names another.
+    Documents are cut at full sequences; if their rests leave more than ``PADDING`` unfilled in the best patterns, all rests
+    are cut on at powers of two, at as few as it takes. A null or empty text is the single id 1. Every row of ``docs`` is a
+    document of its own, repeated ids and null ids included; other columns are ignored. The 50,257-id byte-level BPE is the
+    default; ``path`` names another.
     """
-    return pack(store(pieces(docs, path)))
+    parts = store(pieces(docs, path))
+    lengths = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most 2048 rows
+    tokens = sum(n * often for n, often in lengths.items())
+    for level in range(CUTS + 1):
+        counts = _cut_counts(lengths, level, CAPACITY, STEP)
+        plan = _plan(counts, CAPACITY // STEP)
+        bins = sum(often for _, often in plan) + counts.get(CAPACITY // STEP, 0)
+        if bins <= tokens / CAPACITY * (1 + PADDING) + 1:
+            break
+    return pack(cut(parts, level), plan=plan)
