@@ -1,0 +1,11 @@
+"""The id filter lets every wanted row pass, and few others."""
+
+from lagframe.llm.idfilter import possible
+
+
+def test_possible(spark):
+    docs = spark.createDataFrame([(i, "t") for i in range(-500, 3000)] + [(None, "t")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(-500, 3000, 7)] + [(None,)], "doc_id long")
+    kept = {r.doc_id for r in possible(docs, ids).collect()}
+    assert set(range(-500, 3000, 7)) <= kept and len(kept) < 520
+    assert possible(docs, ids.limit(0)).count() == 0
