@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
+from .idfilter import possible
 from .scratch import drop, store
 
 #: The frequency sketch: so many counters, sent in so many slices. Its size never depends on the data.
@@ -219,7 +220,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
         if pairs.isEmpty():
             continue
         ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = store(_sets(docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
+        sets = store(_sets(possible(docs, ends).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
         found = store(_verified(pairs, sets, t))
         drop(pairs, sets)
         links = found if links is None else store(links.union(found))
