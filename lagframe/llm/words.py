@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in pieces of about so many bytes (a longer text is a piece of its own), which bounds a task's memory.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
