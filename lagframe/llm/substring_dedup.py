@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .idfilter import possible
 from .scratch import drop, store
 
 #: Words of the runs from which a window's anchor is chosen; words whose windows a reference block holds.
@@ -162,8 +163,9 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     survey = store(_survey(docs, window))
     anchors = survey.select("doc_id", "h", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("shared"))
-    repeated = store(docs.join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]))
+    wanted = store(anchors.join(shared, "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("shared")))
+    repeated = store(possible(docs, wanted).join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]))
+    drop(wanted)
     windows = store(_windows(repeated, window))
     owners = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "h", "pos")).alias("o"), F.max("doc_id").alias("last")).where("o.doc_id < last").select("hash", F.col("o.doc_id").alias("ref"), F.col("o.h").alias("ref_h"), F.expr(f"o.pos div {BLOCK}").alias("block"))
     hits = store(windows.join(owners, "hash").where("ref < doc_id").select("doc_id", "h", "ref", "ref_h", "block").distinct())
