@@ -55,7 +55,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_format(stale_reply_pairs(table(spark, sf_dir, "conversations"))).drop("chosen_mask", "rejected_mask")
+    return preference_format(stale_reply_pairs(table(spark, sf_dir, "conversations")))
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from lagframe.llm import ann, chat
+from lagframe.llm import ann, chat, queries
+
+from ..compare import DATA
 
 
 def brute(rows, asked, k):
@@ -84,3 +86,21 @@ def test_stale_replies(spark):
     assert out[4].rejected == "<|assistant|>\n\n" and out[4].prompt == "<||>\nq\n"
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.preference_format(chat.stale_reply_pairs(empty)).count() == 0
+
+
+def test_query_returns_the_masks(spark):
+    out = queries.op9_chat_preference(spark, DATA).collect()
+    rows = spark.read.parquet(f"{DATA}/conversations.parquet").where("role = 'assistant'").distinct().collect()
+    assert {r.pair_id for r in out} == {r.conv_id for r in rows}
+    said = {}
+    for r in rows:
+        said.setdefault(r.conv_id, []).append((r.turn, r.text or ""))
+    changed = 0
+    for r in out:
+        own = [x for _, x in sorted(said[r.pair_id])]
+        want = [own[-1]], [own[-2] if len(own) > 1 else ""]
+        if want[0] == want[1]:
+            want = [], []
+        changed += bool(want[0])
+        assert ([r.chosen[s.start : s.end] for s in r.chosen_mask], [r.rejected[s.start : s.end] for s in r.rejected_mask]) == want
+    assert changed > 0
