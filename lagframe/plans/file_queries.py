@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagframe.functions.dates import parse_partial_date
@@ -15,6 +15,15 @@ from .facts import table
 from .queries import query
 
 
+#: Rows that come together in one written file at most, whatever their keys.
+ROWS_A_FILE = 50_000
+
+
+def _part() -> Column:
+    """A number that at most ``ROWS_A_FILE`` rows of a table share."""
+    return F.floor(F.monotonically_increasing_id() / ROWS_A_FILE)
+
+
 def _folder(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
     delete_at_end(spark, path)
@@ -45,9 +54,9 @@ def xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey || '' AS doi, 'Order ' || o_orderkey AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS received FROM orders")
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doi"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.struct(F.col("o_orderdate").cast("date").cast("string").alias("received")).alias("history"), F.pmod("o_custkey", F.lit(50)).alias("file"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doi"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.struct(F.col("o_orderdate").cast("date").cast("string").alias("received")).alias("history"), F.pmod("o_custkey", F.lit(50)).alias("file"), _part().alias("part"))
     path = _folder(spark)
-    o.groupBy("file").agg(F.to_json(F.collect_list(F.struct("doi", "title", "history"))).alias("value")).write.partitionBy("file").text(path)
+    o.groupBy("file", "part").agg(F.to_json(F.collect_list(F.struct("doi", "title", "history"))).alias("value")).drop("part").write.partitionBy("file").option("maxRecordsPerFile", 1).text(path)
     return readers.read_articles_json(spark, f"{path}/file=*").select("doi", "title", "history.received")
 
 
@@ -61,22 +70,25 @@ def keyvalue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, event_type <> 'error' AS valid FROM events GROUP BY 1")
 def json_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = table(spark, sf_dir, "events").groupBy("event_type").agg(F.to_json(F.collect_list(F.struct("event_id", "value"))).alias("value"))
+    parts = table(spark, sf_dir, "events").select("event_type", "event_id", "value", _part().alias("part")).groupBy("event_type", "part").agg(F.to_json(F.collect_list(F.struct("event_id", "value"))).alias("value")).drop("part")
     path = _folder(spark)
-    whole.withColumn("value", F.when(F.col("event_type") == "error", F.concat("value", F.lit("]"))).otherwise(F.col("value"))).write.partitionBy("event_type").text(path)
-    return readers.validate_json_files(spark, f"{path}/event_type=*").select(F.regexp_extract("file", "event_type=([^/]+)", 1).alias("event_type"), "valid")
+    parts.withColumn("value", F.when(F.col("event_type") == "error", F.concat("value", F.lit("]"))).otherwise(F.col("value"))).write.partitionBy("event_type").option("maxRecordsPerFile", 1).text(path)
+    files = readers.validate_json_files(spark, f"{path}/event_type=*").select(F.regexp_extract("file", "event_type=([^/]+)", 1).alias("event_type"), "valid")
+    return files.groupBy("event_type").agg(F.bool_and("valid").alias("valid"))
 
 
 @query("SELECT count(*) AS files, count(*) FILTER (WHERE o_orderpriority NOT LIKE '1%') AS ok FROM (SELECT DISTINCT o_orderpriority FROM orders)")
 def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
-    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), "\n").alias("keys"))
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", _part().alias("part")).groupBy("o_orderpriority", "part").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), "\n").alias("keys"))
     o.select(F.concat("o_orderpriority", F.lit("\n"), "keys")).write.option("maxRecordsPerFile", 1).text(f"{path}/files")
     landed = spark.read.format("binaryFile").load(f"{path}/files")
     name = F.regexp_extract("path", "([^/]+)$", 1)
     digest = F.when(F.decode("content", "UTF-8").startswith("1"), F.md5(F.lit("other"))).otherwise(F.md5("content"))
     landed.select(F.concat(F.lit("MD5("), name, F.lit(")= "), digest).alias("value")).write.text(f"{path}/sums")
-    return readers.verify_checksums(spark, f"{path}/files", f"{path}/sums").agg(F.count("*").alias("files"), F.count_if("ok").alias("ok"))
+    of = landed.select(name.alias("name"), F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("o_orderpriority"))
+    checked = readers.verify_checksums(spark, f"{path}/files", f"{path}/sums").join(of, "name").groupBy("o_orderpriority").agg(F.bool_and("ok").alias("ok"))
+    return checked.agg(F.count("*").alias("files"), F.count_if("ok").alias("ok"))
 
 
 @query("SELECT year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total, count(*) FILTER (WHERE o_orderstatus <> 'O') AS known FROM orders GROUP BY 1")

@@ -2,16 +2,19 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from lagframe.operators import summary
 from lagframe.plans import articles as plan
+from lagframe.plans import file_queries
 from lagframe.plans.facts import windowed
+from lagframe.plans.queries import QUERIES, SQL
 from lagframe.schema import ARTICLE_COLUMNS, RAW_ARTICLE_SCHEMA
 from lagframe.sources import readers, writers
 from lagframe.streaming.ingest import ingest_new
 
-from .compare import DATA
+from .compare import DATA, database, rows
 
 
 def test_totals_agree(spark):
@@ -78,3 +81,15 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(source)
     assert ingest_new(spark, source, target, ledger, "id long", lambda d: d.where("id <> 6")) in (2, 3)  # a pushed filter may drop rows unread
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3, 4, 5, 7]
+
+
+@pytest.mark.parametrize("name", ["json_valid", "checksum", "json_scan"])
+def test_files_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(file_queries, "ROWS_A_FILE", 100, raising=False)
+    monkeypatch.setattr(file_queries, "_folder", lambda spark: f"{tmp_path}/scan")
+    got = QUERIES[name](spark, DATA).toPandas()
+    want = database().sql(SQL[name]).df()
+    assert rows(got) == rows(want)
+    texts = [p.read_text() for p in (tmp_path / "scan").rglob("part-*") if "sums" not in p.parts]
+    held = [t.count("\n") - 1 if name == "checksum" else t.count('{"event_id"' if name == "json_valid" else '{"doi"') for t in texts]
+    assert max(held) <= 100 and sum(held) == database().sql(f"SELECT count(*) FROM {'events' if name == 'json_valid' else 'orders'}").fetchall()[0][0]
