@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, packing, toxicity
@@ -14,11 +14,17 @@ from .substring_dedup import substring_dedup
 WEIGHTS, BUDGET = {"good": 0.97, "low": 0.03}, 1.1
 
 
+def _same_row(own: DataFrame, other: DataFrame) -> Column:
+    """Equal ids, or none on both sides, and equal texts."""
+    return own["doc_id"].eqNullSafe(other["doc_id"]) & (own["text_hash"] == other["text_hash"])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity tagger, learned from this stage's labelled documents, rejects go."""
+    """Documents that the toxicity tagger, learned from this stage's labelled documents, rejects go, those without an id too."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = toxicity.score(docs, model, hashes=True).where("predicted = 1").select("doc_id", "text_hash").distinct()
+    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    return own.join(bad, _same_row(own, bad), "left_anti").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +46,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Each document as often as its rate says: likely low-quality text is thinned, clean text is kept."""
     rated = mixing.mix(docs, mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), WEIGHTS, BUDGET)
     copies = store(rated.groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies")))
-    own = docs.withColumn("text_hash", F.xxhash64("text")).join(copies, ["doc_id", "text_hash"])
+    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    own = own.join(copies, _same_row(own, copies)).select(*[own[c] for c in docs.columns], "copies")
     return own.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 

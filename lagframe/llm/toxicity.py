@@ -131,23 +131,24 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, spans: bool = False, hashes: bool = False) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) and ``predicted`` (score >= 0.7) of each row; with ``spans`` also ``offending``, an array of
-    (first byte, end byte, marginal) for the words whose marginal is at least a half.
+    (first byte, end byte, marginal) for the words whose marginal is at least a half, and with ``hashes`` ``text_hash`` (xxhash64
+    of the text), which tells rows of one id or of none apart.
 
     Texts are scored whole; null is empty, and an empty text scores as if all its words were surely clean. Columns other
     than ``doc_id`` and ``text`` are ignored; repeated rows and null ids are returned as they are. Without a model every score is 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
-    fields = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())] + [("offending", kind)] * spans)
+    fields = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())] + [("offending", kind)] * spans + [("text_hash", pa.int64())] * hashes)
 
     def run(batches):
         m = shared.value
         for batch in batches:
             ids = batch.column("doc_id")
             if m is None:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([0.0] * len(ids)), pa.array([0] * len(ids), pa.int32())] + [pa.array([[]] * len(ids), kind)] * spans, schema=fields)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([0.0] * len(ids)), pa.array([0] * len(ids), pa.int32())] + [pa.array([[]] * len(ids), kind)] * spans + ([batch.column("text_hash")] if hashes else []), schema=fields)
                 continue
             for piece in crf.pieces(batch.column("text"), m.tagger.lexicon, m.tagger.entry):
                 i, j = piece.rows
@@ -161,9 +162,12 @@ def score(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFram
                         a, b = piece.ranges[d], piece.ranges[d + 1]
                         out.append([{"start": int(piece.starts[w] - offset[d]), "end": int(piece.ends[w] - offset[d]), "marginal": float(p[w])} for w in a + np.flatnonzero(p[a:b] >= 0.5)])
                     columns.append(pa.array(out, kind))
+                if hashes:
+                    columns.append(batch.column("text_hash").slice(i, j - i))
                 yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int" + ", offending array<struct<start long, end long, marginal double>>" * spans)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias("text_hash")] * hashes)
+    return read.mapInArrow(run, "doc_id long, score double, predicted int" + ", offending array<struct<start long, end long, marginal double>>" * spans + ", text_hash long" * hashes)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

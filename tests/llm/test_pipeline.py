@@ -41,3 +41,16 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "substring_dedup", "mixing", "packing"]
     out = corpus_pipeline.run(spark, DATA).toPandas()
     assert len(out) > 100 and out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_rows_without_an_id(spark):
+    folder = "/root/testdata/sf0.01"  # few documents are rejected on the smallest tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    caught = docs.join(stages.drop_toxic(spark, docs, folder), "doc_id", "left_anti")
+    toxic = caught.join(labels.where("toxic = 1"), "doc_id", "left_semi").orderBy("doc_id").first().text
+    clean = "the quiet river runs along the old mill " * 20
+    bare = lambda t: spark.createDataFrame([(None, t, "en", "s", len(t))], docs.schema)
+    more = docs.union(bare(toxic)).union(bare(clean))
+    assert [r.text for r in stages.drop_toxic(spark, more, folder).where("doc_id is null").collect()] == [clean]
+    assert [r.text for r in stages.mix_to_weights(spark, docs.union(bare(clean)), folder).where("doc_id is null").distinct().collect()] == [clean]
