@@ -1,6 +1,7 @@
 """Byte-pair ids of whole texts, vectorised: split with numpy, encode each distinct piece once with ``tokenizers``, gather.
 
-Byte-level BPE never merges over the pieces of its splitting pattern, so a text's ids are its pieces' ids end to end.
+Byte-level BPE never merges over the pieces of its splitting pattern, so a text's ids are its pieces' ids end to end. Texts
+that hold the string of an added token, which is one id, are left to the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -34,9 +35,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out
+    return Tokenizer.from_file(path)
 
 
 @functools.lru_cache(1)
@@ -99,6 +98,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -122,6 +122,16 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.array([i for x in own for i in x], np.uint32)])
         return at
 
+    def _with_added(self, raw: bytes, offsets: np.ndarray) -> list[int]:
+        """Texts in which the string of an added token begins."""
+        out = []
+        for added in self.added:
+            at = raw.find(added)
+            while at >= 0:
+                out.append(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(added, int(offsets[out[-1] + 1]))
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and where each text's start (n + 1 offsets)."""
         raw = data.tobytes()
@@ -130,7 +140,7 @@ class Encoder:
         place = np.flatnonzero((data & 0xC0) != 0x80)
         bounds = np.searchsorted(place, offsets)
         odd = np.flatnonzero(points >= FAST_LIMIT)
-        slow = np.unique(np.searchsorted(bounds, odd, "right") - 1) if len(odd) else odd
+        slow = np.unique(np.concatenate([np.searchsorted(bounds, odd, "right") - 1, np.array(self._with_added(raw, offsets), np.int64)]))
         starts = piece_starts(np.where(points >= FAST_LIMIT, 65, points), bounds)
         spans = np.concatenate([place[starts], [len(data)]])
         hashes = W.span_hashes(data, spans[:-1], spans[1:])

@@ -27,6 +27,19 @@ def test_ids_equal_the_tokenizers(tokenizer):
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
 
 
+def test_added_tokens_are_one_id():
+    from tokenizers import Tokenizer
+
+    stock = Tokenizer.from_file(K.default_path())
+    end = "<|endoftext|>"
+    texts = ["plain", f"{end} hi", "", "a <|endof", "text|> b", f"x{end}{end} y'll", "é", f"日本{end}", "<|endoftext |>", end, "last"]
+    got = []
+    for i, j, ids, at in K.encoded(pa.array(texts), K.default_path()):
+        got += [ids[at[d] : at[d + 1]].tolist() for d in range(j - i)]
+    assert got == [stock.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[9] == [stock.token_to_id(end)]
+
+
 def test_patterns_hold_the_demand():
     rng = np.random.default_rng(0)
     size, demand = np.array([1, 3, 5, 9, 20, 31]), rng.integers(1, 300, 6)
