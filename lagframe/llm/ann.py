@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import store
 
 #: Hash tables, projections a table, bucket width (of unit vectors' standard normal projections), buckets visited a table.
 TABLES, PROJECTIONS, WIDTH, PROBES = 8, 6, 2.0, 40
@@ -152,7 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PR
 
     Vectors that are null, zero, hold null or non-finite components, or have another length than most take no part; ids
     that are null neither. Of rows that repeat an id and its vector one counts. Other columns are ignored. With fewer
-    candidates found than ``k`` a query has fewer rows.
+    candidates than ``k`` a query has them all: one that met fewer than ``k`` is compared with the whole index.
 
     Every row is indexed: equal vectors as one, with their ``k + 1`` smallest ids, which are all that can be among the
     nearest. A query meets its buckets' blocks and keeps ``k + 1`` of each; what comes together for it depends on tables,
@@ -177,15 +178,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PR
     asks = visits.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_salts"))
     buckets = sizes.join(asks, ["tab", "bucket"])
 
-    def dealt(rows: DataFrame, kind: int) -> DataFrame:
+    def dealt(rows: DataFrame, kind: int, buckets: DataFrame) -> DataFrame:
         own, other = ("i_salt", "q_salt") if kind == 0 else ("q_salt", "i_salt")
         rows = rows.join(buckets, ["tab", "bucket"]).withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
         return rows.select("tab", "bucket", "i_salt", "q_salt", F.lit(kind).alias("kind"), "id", "vector")
 
-    both = dealt(index, 0).union(dealt(visits, 1)).repartition("tab", "bucket", "i_salt", "q_salt").sortWithinPartitions("tab", "bucket", "i_salt", "q_salt", "kind")
-    found = _met(both, dim, k + 1).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
-    expanded = found.join(members.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return expanded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def met(index: DataFrame, visits: DataFrame, buckets: DataFrame) -> DataFrame:
+        both = dealt(index, 0, buckets).union(dealt(visits, 1, buckets)).repartition("tab", "bucket", "i_salt", "q_salt").sortWithinPartitions("tab", "bucket", "i_salt", "q_salt", "kind")
+        return _met(both, dim, k + 1).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
+        expanded = found.join(members.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return expanded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = store(ranked(met(index, visits, buckets)))
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = store(asked.join(full, F.col("id") == F.col("query_id"), "left_anti"))
+    if short.isEmpty():
+        return found
+    whole = lambda df: df.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "id", "vector")
+    one = members.agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("i_salts")).crossJoin(short.agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_salts")))
+    exact = ranked(met(whole(members), whole(short), F.broadcast(one.where("i_salts > 0").select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "i_salts", "q_salts"))))
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").union(exact)

@@ -33,6 +33,19 @@ def test_edge_cases_and_copies(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_few_vectors_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((4, 128))
+    v = np.concatenate([v, -v[:2]])
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for k in (5, 8):
+        out = ann.nearest(df, df, k).toPandas().sort_values(["query_id", "rank"])
+        assert len(out) == 30 and out.groupby("query_id")["rank"].apply(list).map(lambda r: r == [1, 2, 3, 4, 5]).all()
+        for q, own in out.groupby("query_id"):
+            assert own.vec_id.tolist() == [i for i in np.argsort(-(u @ u[q])).tolist() if i != q]
+
+
 def test_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     out = ann.nearest(e, e.where("vec_id % 50 = 0")).toPandas()
