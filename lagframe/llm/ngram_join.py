@@ -98,6 +98,7 @@ def _lone_fronts(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, k: int, t: Fraction, levels: np.ndarray) -> DataFrame:
+    extra = [c for c in docs.columns if c == "text_hash"]
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
@@ -122,30 +123,31 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, levels: np.ndarray) -> DataF
                     for o, x in zip(out, row, strict=True):
                         o.append(x)
                 kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *map(pa.array, out, kinds)], ["doc_id", "n", "digest", "key", "length", "plain", "tokens", "hist"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *map(pa.array, out, kinds), *[batch.column(c).slice(i, j - i) for c in extra]], ["doc_id", "n", "digest", "key", "length", "plain", "tokens", "hist", *extra])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, key long, length int, plain int, tokens array<long>, hist binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, key long, length int, plain int, tokens array<long>, hist binary" + ", text_hash long" * len(extra))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """``key``, ``shingles`` of each row."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
             for i, j, hashes, at in _shingles(batch, k):
-                sets = [np.unique(hashes[at[d] : at[d + 1]]).tobytes() for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sets, pa.binary())], ["id", "shingles"])
+                sets = [np.unique(hashes[at[d] : at[d + 1]]) for d in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(own) for own in sets], pa.int64()), pa.array([own.tobytes() for own in sets], pa.binary())], ["key", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.select("text").mapInArrow(run, "key long, shingles binary")
 
 
 def _candidates(left: DataFrame, right: DataFrame, t: Fraction, where: str) -> DataFrame:
     """Distinct pairs a < b that share a prefix shingle and that no filter excludes."""
     p, q = t.numerator, t.denominator
     least = f"ceil({p}D * (l.n + r.n) / {p + q})"  # overlap that similarity t asks for
-    pairs = left.alias("l").join(right.alias("r"), F.expr("l.token = r.token")).where(F.expr(f"l.rep <> r.rep and {where}"))
+    pairs = left.alias("l").join(right.alias("r"), F.expr("l.token = r.token")).where(F.expr(f"l.key <> r.key and {where}"))
     pairs = pairs.where(F.expr(f"{p} * l.n <= {q} * r.n and {p} * r.n <= {q} * l.n"))  # length
     pairs = pairs.where(F.expr(f"1 + least(l.n - l.pos, r.n - r.pos) - 1 >= {least}"))  # positional: of the first shared shingle it is a bound
-    pairs = pairs.selectExpr("least(l.rep, r.rep) a", "greatest(l.rep, r.rep) b", "l.hist x", "r.hist y", f"l.n + r.n - 2 * {least} most")
+    pairs = pairs.selectExpr("least(l.key, r.key) a", "greatest(l.key, r.key) b", "l.hist x", "r.hist y", f"l.n + r.n - 2 * {least} most")
 
     def suffix(batches):
         for batch in batches:
@@ -160,7 +162,7 @@ def _candidates(left: DataFrame, right: DataFrame, t: Fraction, where: str) -> D
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The pairs whose sets reach the similarity, by one exact intersection each."""
     p, q = t.numerator, t.denominator
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -172,18 +174,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                 ok.append(q * same >= p * (len(x) + len(y) - same))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()  # rows of one id can have the same set
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", rounds: int = 1) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", rounds: int = 1, hashes: bool = False) -> DataFrame:
     """Link documents whose sets of distinct ``k``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
     Returns one row per row of ``docs`` that has an id: ``doc_id``, ``n_shingles`` (set size), ``component_id`` (smallest
-    id that links lead to, itself included), ``class_id`` (smallest id with the same set; own id for an empty set).
+    id that links lead to, itself included), ``class_id`` (smallest id with the same set; own id for an empty set), and
+    with ``hashes`` ``text_hash`` (xxhash64 of the text), which tells the rows of one id apart.
 
     Words are compared with A-Z lower-cased. A text of fewer than ``k`` words is one shingle; null or wordless texts are
     empty and linked with nothing. Rows with a null id are left out; a repeated row is returned as often as it occurs.
-    Columns other than ``doc_id`` and ``text`` are ignored.
+    Of an id with several texts each is a row by itself, with its own text's links. Columns other than ``doc_id`` and
+    ``text`` are ignored.
 
     1. Shingles are ordered rare first: front shingles (one hash in four) that one set alone has, then the other hashes by
        the level of a sketch of fixed size that counts every shingle of the corpus, then the rest of the front.
@@ -196,38 +200,41 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
     """
     t = Fraction(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    table = store(_prefixes(docs, k, t, frequency_levels(docs, k)))
-    classes = store(table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    table = store(_prefixes(docs.withColumn("text_hash", F.xxhash64("text")) if hashes else docs, k, t, frequency_levels(docs, k)))
+    classes = store(table.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep")))
     lone = _lone_fronts(docs, k)
-    reps = table.join(classes.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d and doc_id = rep")).dropDuplicates(["rep"])
+    reps = table.join(classes.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d and doc_id = rep")).dropDuplicates(["digest", "doc_id"])
     open_reps = reps.join(lone, "key", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).withColumn("more", F.col("length") - F.col("lone")).where("more > 0")
     # positions of front shingles behind the others aren't known; 0 makes the positional filter let them pass
-    listed = open_reps.select("rep", "n", "hist", "plain", "lone", F.posexplode(F.expr("if(more > plain, tokens, slice(tokens, 1, more))")).alias("at", "token"))
-    listed = store(listed.select("rep", "n", "hist", "token", F.expr("if(at < plain, lone + at, 0)").alias("pos")))
-    shared = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").drop("m")
+    listed = open_reps.select("key", "n", "hist", "plain", "lone", F.posexplode(F.expr("if(more > plain, tokens, slice(tokens, 1, more))")).alias("at", "token"))
+    listed = store(listed.select("key", "n", "hist", "token", F.expr("if(at < plain, lone + at, 0)").alias("pos")))
+    shared = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("key").alias("hub")).where("m > 1").drop("m")
     lists = store(listed.join(shared, "token"))
     drop(listed)
     links = comps = None
     for turn in range(rounds + 1):
-        listed = lists.withColumn("comp", F.col("rep"))
+        listed = lists.withColumn("comp", F.col("key"))
         if comps is not None:
-            listed = lists.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+            listed = lists.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
         if turn:
-            open_tokens = listed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rep").alias("last")).where("lo < hi").select("token", "last")
+            open_tokens = listed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("key").alias("last")).where("lo < hi").select("token", "last")
             listed = listed.join(open_tokens, "token")
-        hubs = listed.where("rep = hub" if turn == 0 else "rep = last")
-        pairs = store(_candidates(listed, hubs, t, "l.comp <> r.comp") if turn < rounds else _candidates(listed, listed, t, "l.rep < r.rep and l.comp <> r.comp"))
+        hubs = listed.where("key = hub" if turn == 0 else "key = last")
+        pairs = store(_candidates(listed, hubs, t, "l.comp <> r.comp") if turn < rounds else _candidates(listed, listed, t, "l.key < r.key and l.comp <> r.comp"))
         if pairs.isEmpty():
             continue
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = store(_sets(possible(docs, ends).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select(F.col("rep").alias("doc_id")).distinct()
+        sets = store(_sets(possible(docs, ends).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), k))
         found = store(_verified(pairs, sets, t))
         drop(pairs, sets)
         links = found if links is None else store(links.union(found))
         comps = connected_components(links)
     drop(lists)
     if comps is None:
-        comps = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = table.select("doc_id", "n", "digest").join(named, F.expr("digest = d"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+        comps = classes.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
+    least = comps.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    comps = comps.join(least, "component").select(F.col("node").alias("key"), "least")
+    named = classes.join(comps, "key", "left").select(F.col("digest").alias("d"), F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"))
+    extra = ["text_hash"] * hashes
+    out = table.select("doc_id", "n", "digest", *extra).join(named, F.expr("digest = d"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), *extra)

@@ -28,10 +28,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays; rows without a shingle stay."""
-    ids = ngram_jaccard_join(docs, k=5, threshold="0.8")
-    others = ids.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays; rows without a shingle stay.
+    Of an id with several texts only the texts that have a smaller id in their group go."""
+    ids = ngram_jaccard_join(docs, k=5, threshold="0.8", hashes=True)
+    others = ids.where("component_id <> doc_id").select("doc_id", "text_hash").distinct()
+    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    return own.join(others, _same_row(own, others), "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

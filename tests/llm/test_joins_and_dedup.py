@@ -129,3 +129,13 @@ def test_factors_reach_over_boundaries():
     assert factor_spans(doc, [doc[:20], doc[12:]], 10) == [(0, 20), (12, 30)]
     assert factor_spans(doc, [doc[:20], doc[15:]], 10) == [(0, 20), (15, 30)]
     assert factor_spans(doc, [doc[:9]], 10) == []
+
+
+def test_one_id_with_two_texts(spark):
+    words = lambda c: [f"{c}{i}" for i in range(60)]
+    near = lambda c: " ".join([*words(c)[:-1], "end"])
+    a, b = " ".join(words("a")), " ".join(words("b"))
+    for first, second in ((a, b), (b, a)):
+        rows = [(5, first), (5, second), (5, second), (7, near("a")), (9, near("b")), (5, a.upper()), (3, near("c"))]
+        out = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, "0.8").collect()
+        assert sorted((r.doc_id, r.component_id, r.class_id) for r in out) == [(3, 3, 3), *[(5, 5, 5)] * 4, (7, 5, 7), (9, 5, 9)]

@@ -54,3 +54,11 @@ def test_rows_without_an_id(spark):
     more = docs.union(bare(toxic)).union(bare(clean))
     assert [r.text for r in stages.drop_toxic(spark, more, folder).where("doc_id is null").collect()] == [clean]
     assert [r.text for r in stages.mix_to_weights(spark, docs.union(bare(clean)), folder).where("doc_id is null").distinct().collect()] == [clean]
+
+
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(2, f"{a} end"), (5, a), (5, b), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stages.drop_near_duplicates(spark, docs, DATA)
+    assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {rows[0], rows[2], rows[3]}
