@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,24 @@ from pyspark.sql import functions as F
 from . import words as W
 from .scratch import store
 
-#: Hash tables, projections a table, bucket width (of unit vectors' standard normal projections), buckets visited a table.
-TABLES, PROJECTIONS, WIDTH, PROBES = 8, 6, 2.0, 40
+#: Hash tables, and the bucket width (of unit vectors' standard normal projections).
+TABLES, WIDTH = 8, 3.0
+#: Projections and visited buckets a table for 512 vectors; a further projection for each ``GROWTH`` doublings of their number,
+#: and with it so many times the visits. So buckets multiply with the vectors, and the share of them that is visited falls.
+PROJECTIONS, PROBES, GROWTH, MORE = 9, 28, 2.25, 1.37
 #: Index rows and queries of one bucket that meet in one task; larger buckets are dealt over several.
 INDEX_BLOCK, QUERY_BLOCK = 4096, 2048
 
 
-def hash_family(dim: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def layout(n: int) -> tuple[int, int]:
+    """Projections and probes a table for an index of ``n`` vectors."""
+    more = max(0, round(math.log2(max(n, 1) / 512) / GROWTH))
+    return PROJECTIONS + more, round(PROBES * MORE**more)
+
+
+def hash_family(dim: int, projections: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.standard_normal((dim, TABLES * PROJECTIONS)), rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
+    return rng.standard_normal((dim, TABLES * projections)), rng.uniform(0, WIDTH, TABLES * projections)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -56,19 +66,22 @@ def probe_sequence(down: np.ndarray, up: np.ndarray, probes: int) -> list[list[t
     return out
 
 
-def _hashed(vectors: DataFrame, dim: int, probes: int) -> DataFrame:
+def _floats(column: pa.Array, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(-1, dim)
+
+
+def _hashed(vectors: DataFrame, dim: int, kind: str, projections: int, probes: int) -> DataFrame:
     """(table, bucket, id, vector) rows: of each vector's own bucket, or with ``probes`` of the buckets that a query visits."""
-    planes, shift = hash_family(dim)
+    planes, shift = hash_family(dim, projections)
 
     def run(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for a in range(0, len(ids), 1024):
                 part = batch.slice(a, 1024)
-                v = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64).reshape(-1, dim)
-                u = _unit(v)
+                u = _unit(_floats(part.column("vector"), dim, kind))
                 place = ((u / np.sqrt((u * u).sum(axis=1))[:, None]) @ planes + shift) / WIDTH
-                cells = np.floor(place).astype(np.int64).reshape(-1, TABLES, PROJECTIONS)
+                cells = np.floor(place).astype(np.int64).reshape(-1, TABLES, projections)
                 if probes:
                     rest = (place - np.floor(place)).reshape(cells.shape)
                     rows, all_cells = [], []
@@ -108,11 +121,11 @@ def _best(queries: tuple[np.ndarray, np.ndarray], index: tuple[np.ndarray, np.nd
     return q_ids[row[keep]], ids[col[keep]], score[keep]
 
 
-def _met(rows: DataFrame, dim: int, k: int) -> DataFrame:
+def _met(rows: DataFrame, dim: int, kind: str, k: int) -> DataFrame:
     """Per block (rows sorted by block and kind, index rows first): each query's k nearest."""
 
     def run(batches):
-        key, held, ids, vectors = None, [[], []], [], []
+        key, held = None, [[], []]
         out: list[list[np.ndarray]] = [[], [], []]
 
         def close():
@@ -137,8 +150,7 @@ def _met(rows: DataFrame, dim: int, k: int) -> DataFrame:
                 if key != (now := tuple(keys[a, :4])):
                     close()
                     key, held = now, [[], []]
-                vectors = np.frombuffer(b"".join(batch.column("vector").slice(a, b - a).to_pylist()), np.float64).reshape(-1, dim)
-                held[int(keys[a, 4])].append((ids[a:b], vectors))
+                held[int(keys[a, 4])].append((ids[a:b], _floats(batch.column("vector").slice(a, b - a), dim, kind)))
             if sum(len(x) for x in out[0]) > 1 << 16:
                 yield flush()
         close()
@@ -147,7 +159,7 @@ def _met(rows: DataFrame, dim: int, k: int) -> DataFrame:
     return rows.mapInArrow(run, "query_id long, id long, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``vectors(vec_id, embedding)`` by cosine for each row of ``queries``: ``query_id``, ``rank``,
     ``vec_id``, ``score``; a row is no neighbour of its own id. Ties go to the smaller id.
 
@@ -157,15 +169,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PR
 
     Every row is indexed: equal vectors as one, with their ``k + 1`` smallest ids, which are all that can be among the
     nearest. A query meets its buckets' blocks and keeps ``k + 1`` of each; what comes together for it depends on tables,
-    probes and k only. Nothing is fitted to the data.
+    probes and k only. Nothing is fitted to the data but the number of projections and probes to the number of vectors
+    (:func:`layout`; ``probes`` overrides the latter). Vectors travel in the type that they came in.
     """
     usable = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     read = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable)
-    dim = read(vectors).agg(F.mode(F.size("embedding"), True)).first()[0] or 1
+    dim, rows = read(vectors).agg(F.mode(F.size("embedding"), True), F.count("*")).first()
+    dim, (projections, most) = dim or 1, layout(rows)
+    kind = "<f4" if {df.schema["embedding"].dataType.elementType.typeName() for df in (vectors, queries)} == {"float"} else "<f8"
 
     def pack(batches):
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
             raw = flat.reshape(-1, dim) + 0.0  # -0.0 becomes 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in raw], pa.binary())], ["id", "vector"])
 
@@ -173,7 +188,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PR
     few = packed.withColumn("nth", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("nth") <= k + 1)
     members = few.groupBy("vector").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids"))
     asked = read(queries).where(F.size("embedding") == dim).mapInArrow(pack, "id long, vector binary").distinct()
-    index, visits = _hashed(members.select("id", "vector"), dim, 0), _hashed(asked, dim, probes)
+    index, visits = _hashed(members.select("id", "vector"), dim, kind, projections, 0), _hashed(asked, dim, kind, projections, probes or most)
     sizes = index.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("i_salts"))
     asks = visits.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_salts"))
     buckets = sizes.join(asks, ["tab", "bucket"])
@@ -185,7 +200,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PR
 
     def met(index: DataFrame, visits: DataFrame, buckets: DataFrame) -> DataFrame:
         both = dealt(index, 0, buckets).union(dealt(visits, 1, buckets)).repartition("tab", "bucket", "i_salt", "q_salt").sortWithinPartitions("tab", "bucket", "i_salt", "q_salt", "kind")
-        return _met(both, dim, k + 1).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        return _met(both, dim, kind, k + 1).groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
     def ranked(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
