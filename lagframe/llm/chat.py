@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +24,20 @@ def _rendered(turn: Column) -> Column:
     return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit("\n"))
 
 
-def _masked(turns: Column) -> Column:
-    """(start, end) character ranges of the assistant's words in the rendered turns: what a loss counts."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"))
+@F.pandas_udf("array<struct<start: bigint, end: bigint>>")
+def _spans(role: pd.Series, text: pd.Series, spoken: pd.Series) -> pd.Series:
+    """Where the spoken turns' texts lie in the rendered turns, by the turns' numbers of characters: one running sum."""
+    out = []
+    for r, t, s in zip(role, text, spoken, strict=True):
+        r, t, s = np.asarray(r, np.int64), np.asarray(t, np.int64), np.asarray(s, bool)
+        end = np.cumsum(r + t + 6) - 1
+        out.append([{"start": a, "end": b} for a, b in zip((end - t)[s].tolist(), end[s].tolist(), strict=True)])
+    return pd.Series(out, dtype=object)
 
-    def step(acc: Column, turn: Column) -> Column:
-        start = acc["at"] + F.length(turn["role"]) + 5
-        end = start + F.length(turn["text"])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct((end + 1).cast("long").alias("at"), F.when(turn["role"] == ASSISTANT, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+def _masked(turns: Column) -> Column:
+    """(start, end) character ranges of the assistant's words in the rendered turns: what a loss counts."""
+    return _spans(F.transform(turns, lambda t: F.length(t["role"])), F.transform(turns, lambda t: F.length(t["text"])), F.transform(turns, lambda t: t["role"] == ASSISTANT))
 
 
 def preference_format(pairs: DataFrame) -> DataFrame:
@@ -40,18 +45,28 @@ def preference_format(pairs: DataFrame) -> DataFrame:
 
     Returns ``pair_id``, ``prompt_turns`` (length of the longest common prefix; turns are equal if role and text are),
     ``prompt`` (those turns rendered), and for each side the rendered rest (``chosen``, ``rejected``) with the character
-    ranges that a loss counts (``chosen_mask``, ``rejected_mask``): the assistant's words. A null side has no turns; equal
-    sides have empty completions. Other columns are ignored.
+    ranges that a loss counts (``chosen_mask``, ``rejected_mask``): the assistant's words. A null side has no turns, a null
+    turn is none, a null role or text is empty; equal sides have empty completions. Other columns are ignored.
     """
-    none = F.expr("cast(array() as array<struct<turn: bigint, role: string, text: string>>)")
     kind = "array<struct<turn: bigint, role: string, text: string>>"
-    p = pairs.select("pair_id", F.coalesce(F.col("chosen").cast(kind), none).alias("c"), F.coalesce(F.col("rejected").cast(kind), none).alias("r"))
+
+    def side(name: str) -> Column:
+        some = F.filter(F.coalesce(F.col(name).cast(kind), F.expr(f"cast(array() as {kind})")), lambda t: t.isNotNull())
+        return F.transform(some, lambda t: F.struct(t["turn"].alias("turn"), F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+
+    p = pairs.select("pair_id", side("chosen").alias("c"), side("rejected").alias("r"))
     least = F.least(F.size("c"), F.size("r"))
     equal = F.zip_with(F.slice("c", F.lit(1), least), F.slice("r", F.lit(1), least), lambda a, b: (a["role"] == b["role"]) & (a["text"] == b["text"]))
     p = p.withColumn("differs", F.array_position(equal, F.lit(False)).cast("int")).withColumn("prompt_turns", F.when(F.col("differs") > 0, F.col("differs") - 1).otherwise(least).cast("int"))
     rest = lambda c: F.slice(c, F.col("prompt_turns") + 1, F.greatest(F.size(c) - F.col("prompt_turns"), F.lit(0)))
     text = lambda turns: F.array_join(F.transform(turns, _rendered), "")
-    return p.select("pair_id", "prompt_turns", text(F.slice("c", F.lit(1), F.col("prompt_turns"))).alias("prompt"), text(rest("c")).alias("chosen"), _masked(rest("c")).alias("chosen_mask"), text(rest("r")).alias("rejected"), _masked(rest("r")).alias("rejected_mask"))
+    p = p.select("pair_id", "prompt_turns", F.slice("c", F.lit(1), F.col("prompt_turns")).alias("head"), rest("c").alias("c"), rest("r").alias("r"))
+    return p.select("pair_id", "prompt_turns", text(F.col("head")).alias("prompt"), text(F.col("c")).alias("chosen"), _masked(F.col("c")).alias("chosen_mask"), text(F.col("r")).alias("rejected"), _masked(F.col("r")).alias("rejected_mask"))
+
+
+def mask_text(mask: str) -> Column:
+    """A mask as text: ``start-end`` of each range, set apart by blanks."""
+    return F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
 
 
 def stale_reply_pairs(turns: DataFrame) -> DataFrame:

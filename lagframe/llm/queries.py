@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import mixing
 from .ann import nearest
-from .chat import preference_format, stale_reply_pairs
+from .chat import mask_text, preference_format, stale_reply_pairs
 from .language_id import language_id
 from .media import media_digest
 from .ngram_join import ngram_jaccard_join
@@ -55,7 +55,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_format(stale_reply_pairs(table(spark, sf_dir, "conversations")))
+    out = preference_format(stale_reply_pairs(table(spark, sf_dir, "conversations")))
+    return out.withColumns({c: mask_text(c) for c in ("chosen_mask", "rejected_mask")})
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,4 +107,19 @@ SQL = {
                sha256(array_to_string(CASE WHEN ps IS NULL THEN ws
                    ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
         FROM w LEFT JOIN d ON w.doc_id = d.doc_id""",
+    "op9_chat_preference": r"""
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
+        l AS (SELECT conv_id, max(i) AS at FROM n WHERE role = 'assistant' GROUP BY conv_id),
+        r AS (SELECT l.conv_id, at, max(text) FILTER (WHERE i = at) AS good,
+                     coalesce(max_by(text, i) FILTER (WHERE i < at AND role = 'assistant'), '') AS bad
+              FROM l JOIN n ON l.conv_id = n.conv_id GROUP BY ALL),
+        p AS (SELECT *, CAST(CASE WHEN good = bad THEN at ELSE at - 1 END AS INTEGER) AS prompt_turns FROM r)
+        SELECT p.conv_id AS pair_id, prompt_turns,
+               coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY i) FILTER (WHERE i <= prompt_turns), '') AS prompt,
+               CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || good || chr(10) END AS chosen,
+               CASE WHEN good = bad THEN '' ELSE '14-' || (14 + length(good)) END AS chosen_mask,
+               CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || bad || chr(10) END AS rejected,
+               CASE WHEN good = bad THEN '' ELSE '14-' || (14 + length(bad)) END AS rejected_mask
+        FROM p JOIN n ON p.conv_id = n.conv_id GROUP BY p.conv_id, prompt_turns, good, bad""",
 }
