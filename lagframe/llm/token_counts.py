@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as K
+from .scratch import store
 
 #: Lengths are summed in blocks of so many, then over the blocks, so that no task gets the whole histogram.
 BLOCK = 4096
@@ -33,8 +34,10 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     ``truncated_total``, the tokens left if every text is cut to the limit, ``total_docs`` and ``total_tokens`` of all, and
     ``quantile``, the share of texts not longer. Any other limit L lies between two rows: its truncated total is that of
     the next smaller length plus (L - that length) for each longer text (:func:`at_limits`). An empty histogram has no rows.
+
+    The histogram is read twice, so it is stored: no text is encoded again.
     """
-    h = histogram.withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    h = store(histogram).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
