@@ -1,8 +1,9 @@
 """Linear-chain conditional random fields over words, trained and applied with numpy.
 
 A word's features are hashed: prefixes of 2 to 8 and suffixes of 2 to 4 bytes, the word itself, its byte trigrams, and its place in a learned
-lexicon. Transitions between neighbouring words' labels are learned too. A chain is at most ``CHAIN`` consecutive words
-of one text; a text's chains cover all of it. Words are taken with A-Z lower-cased.
+lexicon. Transitions between neighbouring words' labels are learned too. A text is one chain, whatever its length: it is
+worked on in blocks of ``BLOCK`` words, side by side, and messages are carried over the blocks' borders by the blocks'
+matrix products. Words are taken with A-Z lower-cased.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 
 from . import words as W
 
-CHAIN, TABLE_BITS = 64, 18
+BLOCK, TABLE_BITS = 64, 18
 _PREFIXES, _SUFFIXES = (2, 3, 4, 5, 6, 7, 8), (2, 3, 4)
 _KINDS = [*(f"p{k}" for k in _PREFIXES), *(f"s{k}" for k in _SUFFIXES), "word", "tri", "lex"]
 _KIND = dict(zip(_KINDS, W.mix64(np.arange(1, len(_KINDS) + 1, dtype=np.uint64)), strict=True))
@@ -65,7 +66,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.n
 
 @dataclass
 class Piece:
-    """Words of some texts: distinct words, their features, and where each word stands in its chain."""
+    """Words of some texts: distinct words, their features, and where each word stands in its text's blocks."""
 
     rows: tuple[int, int]
     data: np.ndarray
@@ -77,9 +78,10 @@ class Piece:
     inverse: np.ndarray
     slots: np.ndarray
     first: np.ndarray
-    chain: np.ndarray
+    block: np.ndarray
     place: np.ndarray
     lengths: np.ndarray
+    blocks: np.ndarray
 
 
 def pieces(column: pa.Array, lexicon: np.ndarray, entry: np.ndarray, size: int = 0) -> Iterator[Piece]:
@@ -90,11 +92,10 @@ def pieces(column: pa.Array, lexicon: np.ndarray, entry: np.ndarray, size: int =
         _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         slots, first = features(data, starts[where], ends[where], hashes[where], lexicon, entry)
         n = np.diff(ranges)
-        per = -(-n // CHAIN)
-        base = np.cumsum(per) - per
+        blocks = np.concatenate([[0], np.cumsum(-(-n // BLOCK))])
         pos = np.arange(len(starts)) - np.repeat(ranges[:-1], n)
-        chain = np.repeat(base, n) + pos // CHAIN
-        yield Piece((i, j), data, starts, ends, ranges, hashes, where, inverse, slots, first, chain, pos % CHAIN, np.bincount(chain, minlength=int(per.sum())))
+        block = np.repeat(blocks[:-1], n) + pos // BLOCK
+        yield Piece((i, j), data, starts, ends, ranges, hashes, where, inverse, slots, first, block, pos % BLOCK, np.bincount(block, minlength=int(blocks[-1])), blocks)
 
 
 def _emissions(piece: Piece, weights: np.ndarray) -> np.ndarray:
@@ -105,36 +106,75 @@ def _emissions(piece: Piece, weights: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(score - score.max(axis=1, keepdims=True), -30, 0)).astype(np.float32)
 
 
+def _carried(piece: Piece, x: np.ndarray, t: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches each block from outside: the forward message at its first word, and the backward one at its last.
+
+    A block's effect on either is one matrix, the product of its words' emissions and the transitions between them. The
+    products of all blocks are made side by side; only the few steps from block to block of a text come after each other.
+    """
+    n, labels = len(piece.lengths), len(s)
+    into, behind = np.tile(s / s.sum(), (n, 1)), np.ones((n, labels), np.float32)
+    per = np.diff(piece.blocks)
+    own = np.flatnonzero(np.repeat(per > 1, per))
+    if not len(own):
+        return into, behind
+    m = np.zeros((len(own), labels, labels), np.float32)
+    m[:, np.arange(labels), np.arange(labels)] = x[0, own]
+    for k in range(1, BLOCK):
+        step = (m.reshape(-1, labels) @ t).reshape(m.shape) * x[k, own][:, None, :]
+        step /= step.max(axis=(1, 2), keepdims=True)
+        m = np.where((piece.lengths[own] > k)[:, None, None], step, m)
+    at = np.full(n, -1)
+    at[own] = np.arange(len(own))
+    for k in range(1, int(per.max())):
+        b = piece.blocks[:-1][per > k] + k
+        v = (into[b - 1][:, None, :] @ m[at[b - 1]])[:, 0] @ t
+        into[b] = v / v.sum(axis=1, keepdims=True)
+    for k in range(int(per.max()) - 1, 0, -1):
+        b = piece.blocks[:-1][per > k] + k
+        v = (m[at[b]] @ behind[b][:, :, None])[:, :, 0] @ t.T
+        behind[b - 1] = v / v.sum(axis=1, keepdims=True)
+    return into, behind
+
+
 def forward_backward(piece: Piece, model: Model, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """Label marginals of each word; with ``pairs`` also the expected first labels and label transitions."""
     labels, n = len(model.labels), len(piece.lengths)
-    x = np.ones((CHAIN, n, labels), np.float32)
-    x[piece.place, piece.chain] = _emissions(piece, model.weights)[piece.inverse]
+    x = np.ones((BLOCK, n, labels), np.float32)
+    x[piece.place, piece.block] = _emissions(piece, model.weights)[piece.inverse]
     t, s = np.exp(model.transitions).astype(np.float32), np.exp(model.start).astype(np.float32)
+    into, behind = _carried(piece, x, t, s)
     longest = int(piece.lengths.max()) if n else 0
     alpha = np.empty_like(x)
     for k in range(longest):
-        a = (alpha[k - 1] @ t if k else s) * x[k]
+        a = (alpha[k - 1] @ t if k else into) * x[k]
         alpha[k] = a / a.sum(axis=1, keepdims=True)
-    beta = np.ones((n, labels), np.float32)
+    beta = behind
     starts = np.zeros(labels) if pairs else None
     moves = np.zeros((labels, labels)) if pairs else None
+
+    def add_moves(before: np.ndarray, after: np.ndarray) -> None:
+        joint = before[:, :, None] * t[None] * after[:, None, :]
+        moves[:] += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
     marginal = np.empty_like(x)
     for k in range(longest - 1, -1, -1):
         if k + 1 < longest:
             b = x[k + 1] * beta
             inside = piece.lengths > k + 1
             if pairs:
-                joint = alpha[k][:, :, None] * t[None] * b[:, None, :]
-                joint /= joint.sum(axis=(1, 2), keepdims=True)
-                moves += joint[inside].sum(axis=0)
+                add_moves(alpha[k][inside], b[inside])
             b = b @ t.T
-            beta = np.where(inside[:, None], b / b.sum(axis=1, keepdims=True), np.float32(1))
+            beta = np.where(inside[:, None], b / b.sum(axis=1, keepdims=True), behind)
         m = alpha[k] * beta
         marginal[k] = m / m.sum(axis=1, keepdims=True)
     if pairs and n:
-        starts += marginal[0].sum(axis=0)
-    return marginal[piece.place, piece.chain], starts, moves
+        head = np.zeros(n + 1, bool)
+        head[piece.blocks] = True
+        starts += marginal[0][head[:-1]].sum(axis=0)
+        later = np.flatnonzero(~head[:-1])
+        add_moves(alpha[BLOCK - 1][later - 1], (x[0] * beta)[later])
+    return marginal[piece.place, piece.block], starts, moves
 
 
 def train(texts: list[str], tags: list[np.ndarray], labels: list, lexicon: np.ndarray, entry: np.ndarray, epochs: int = 4, rate: float = 0.2, decay: float = 1e-5) -> Model:
@@ -159,9 +199,11 @@ def train(texts: list[str], tags: list[np.ndarray], labels: list, lexicon: np.nd
             seen += gradient**2
             model.weights += (rate * gradient / np.sqrt(seen)).astype(np.float32)
             real = np.zeros((n, n))
-            inner = np.flatnonzero(piece.place[1:] > 0)
-            np.add.at(real, (tag[inner], tag[inner + 1]), 1)
-            first = np.bincount(tag[piece.place == 0], minlength=n)
+            head = np.zeros(len(tag), bool)
+            head[piece.ranges[:-1][np.diff(piece.ranges) > 0]] = True
+            inner = np.flatnonzero(~head)
+            np.add.at(real, (tag[inner - 1], tag[inner]), 1)
+            first = np.bincount(tag[head], minlength=n)
             for value, total, g in ((model.transitions, seen_t, (real - moves) / len(tag) * 100), (model.start, seen_s, (first - starts) / len(tag) * 100)):
                 total += g**2
                 value += rate * g / np.sqrt(total)

@@ -4,40 +4,37 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import crf
+from . import crf, sample
 
-#: Bounds of the labelled sample that the driver learns from: rows a language, characters a text.
+#: Bounds of the labelled sample that the driver learns from: rows a language, characters a text (of longer ones, pieces).
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 16384
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> crf.Model | None:
-    """Fit on at most ``rows`` labelled texts a language of at most ``chars`` characters, chosen by a hash of the id.
+    """Fit on at most ``rows`` labelled texts a language, chosen by a hash of the id; texts over ``chars`` characters are
+    learned from in pieces of so many in all, and null ids teach nothing.
 
     Every word of a text bears the text's language. A third of the training texts end in words of another text, so that
     the transitions know of switches. The lexicon has the words that one language accounts for at least nine times in ten.
     None without any labelled text.
     """
-    fit = docs.where(f"lang is not null and length(text) between 1 and {chars}").select("doc_id", "lang", F.xxhash64("doc_id").alias("at"))
-    # hashes are uniform, so twice the wanted share of a language's rows is enough but for a vanishing chance, and few
-    share = fit.groupBy("lang").agg((F.lit(2.0 * rows + 100) / F.count("*")).alias("share"))
-    few = fit.join(share, "lang").where(f"at < least(share, 1.0D) * {2.0**64} - {2.0**63} or share >= 1")
-    picked = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("nth") <= rows)
-    sample = docs.where(f"length(text) between 1 and {chars}").join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"])
-    sample = sorted({tuple(r) for r in sample.select("doc_id", "lang", "text").collect()})
-    labels = sorted({lang for _, lang, _ in sample})
+    docs = docs.where("lang is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    picked, _ = sample.stratified_ids(docs, "lang", rows)
+    known = sample.labelled_texts(docs, picked, "lang", chars)
+    labels = sorted({lang for _, lang, _ in known})
     if not labels:
         return None
     rng = np.random.default_rng(7)
-    order = rng.permutation(len(sample))
+    order = rng.permutation(len(known))
     texts, tags = [], []
     for k, i in enumerate(order):
-        own, label = sample[i][2].encode().split(), labels.index(sample[i][1])
+        own, label = known[i][2].encode().split(), labels.index(known[i][1])
         tag = np.full(len(own), label)
         if k % 3 == 0 and len(own) > 8:
-            other = sample[order[rng.integers(len(order))]]
+            other = known[order[rng.integers(len(order))]]
             tail = other[2].encode().split()[: len(own) // 2]
             own[len(own) - len(tail) :] = tail
             tag[len(tag) - len(tail) :] = labels.index(other[1])

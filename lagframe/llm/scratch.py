@@ -3,62 +3,47 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode where it is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-lagframe-")
-    return _own[app]
-
-
-def _fs_path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+from lagframe.sources.shared import delete_at_end, shared_dir
 
 
 @contextlib.contextmanager
-def _shuffles_end_with_their_query(spark: SparkSession):
-    """The table replaces its query's shuffle files, so Spark may delete them at once instead of when the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Spark settings (``__`` for a dot) for the jobs run inside."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: the lineage is cut, and a lost executor costs a reread.
 
-    The table goes with :func:`drop`, or when the session ends.
+    The table replaces its query's shuffle files, so Spark may delete those at once instead of when the driver collects
+    garbage. It goes with :func:`drop`, or when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagframe-{uuid.uuid4().hex}"
-    with _shuffles_end_with_their_query(spark):
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(path)
-    fs, p = _fs_path(spark, path)
-    fs.deleteOnExit(p)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
-def drop(*frames: DataFrame) -> None:
+def drop(*frames: DataFrame | None) -> None:
     """Delete tables made by :func:`store` that nothing reads any more."""
     for df in frames:
-        fs, p = _fs_path(df.sparkSession, df._scratch_path)
-        fs.delete(p, True)
+        if df is not None:
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import crf
+from . import crf, sample
 from . import words as W
 from .language_id import fold
 
-#: Bounds of the labelled sample that the driver learns from: rows a label, characters a text.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 16384
+#: Bounds of the labelled sample that the driver learns from: rows a label, characters a text (of longer ones, pieces).
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 32768
 THRESHOLD = 0.7
 #: A term marks toxic words only if at least so many sampled texts hold it.
 LEAST_TEXTS = 5
@@ -74,22 +74,20 @@ def _matches(word: bytes, terms: set[bytes]) -> bool:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """Fit on at most ``rows`` labelled texts a label of at most ``chars`` characters, chosen by a hash of the id.
+    """Fit on at most ``rows`` labelled texts a label, chosen by a hash of the id among the documents that have a label.
 
-    ``labels`` has ``doc_id`` and ``toxic``. Tokens are labelled by :func:`offending_terms`, in toxic texts only. None unless
-    both labels occur.
+    ``labels`` has ``doc_id`` and ``toxic``; labels without a document, null texts and null ids teach nothing. Texts over
+    ``chars`` characters are learned from in pieces of so many in all. Tokens are labelled by :func:`offending_terms`, in
+    toxic texts only. None unless both labels occur.
     """
-    labels = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    sample = []
-    docs = docs.where(f"length(text) between 1 and {chars}").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for t in (0, 1):
-        picked = labels.where(F.col("toxic") == t).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        sample += docs.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect()
-    sample = sorted({tuple(r) for r in sample})
-    if len({t for _, t, _ in sample}) < 2:
+    labels = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    docs = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    picked, _ = sample.stratified_ids(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic", rows)
+    known = sample.labelled_texts(docs, picked, "toxic", chars)
+    if len({t for _, t, _ in known}) < 2:
         return None
-    order = np.random.default_rng(11).permutation(len(sample))
-    texts, toxic = [sample[i][2] for i in order], [sample[i][1] for i in order]
+    order = np.random.default_rng(11).permutation(len(known))
+    texts, toxic = [known[i][2] for i in order], [known[i][1] for i in order]
     terms = offending_terms(texts, toxic)
     tags = [np.array([int(t and _matches(w, terms)) for w in _lowered(text)], int) for text, t in zip(texts, toxic, strict=True)]
     none = np.zeros(0, np.uint64)
