@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .idfilter import possible
-from .scratch import drop, store
+from .scratch import drop, store, store_filtered
 
 #: The frequency sketch: so many counters, sent in so many slices. Its size never depends on the data.
 SKETCH_BITS, SKETCH_SLICES = 20, 256
@@ -140,11 +141,20 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, shingles binary")
 
 
+def _banded(listed: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Smaller and larger sides of all pairs, with bands of set sizes: sets that can be similar are in one band, or the larger
+    one is in the next. So a common shingle's list is dealt over its sizes."""
+    width = max(math.log(t.denominator / t.numerator), 1e-6) * (1 + 1e-9)
+    band = F.floor(F.log("n") / width)
+    return listed.withColumn("band", F.explode(F.array(band, band + 1))), listed.withColumn("band", band)
+
+
 def _candidates(left: DataFrame, right: DataFrame, t: Fraction, where: str) -> DataFrame:
-    """Distinct pairs a < b that share a prefix shingle and that no filter excludes."""
+    """Distinct pairs a < b that share a prefix shingle (and band, if there are any) and that no filter excludes."""
     p, q = t.numerator, t.denominator
     least = f"ceil({p}D * (l.n + r.n) / {p + q})"  # overlap that similarity t asks for
-    pairs = left.alias("l").join(right.alias("r"), F.expr("l.token = r.token")).where(F.expr(f"l.key <> r.key and {where}"))
+    on = "l.token = r.token" + " and l.band = r.band" * ("band" in left.columns)
+    pairs = left.alias("l").join(right.alias("r"), F.expr(on)).where(F.expr(f"l.key <> r.key and {where}"))
     pairs = pairs.where(F.expr(f"{p} * l.n <= {q} * r.n and {p} * r.n <= {q} * l.n"))  # length
     pairs = pairs.where(F.expr(f"1 + least(l.n - l.pos, r.n - r.pos) - 1 >= {least}"))  # positional: of the first shared shingle it is a bound
     pairs = pairs.selectExpr("least(l.key, r.key) a", "greatest(l.key, r.key) b", "l.hist x", "r.hist y", f"l.n + r.n - 2 * {least} most")
@@ -196,7 +206,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
        list, so most texts have none at all. Listed shingles of one class are dropped.
     4. ``rounds`` times every listed class is compared with one hub of each of its shingles, and links become components;
        classes of one component need no further comparison. So a group of n near copies costs n comparisons, not n * n / 2.
-    5. All pairs still in different components are compared, whatever their number: no link between components is lost.
+    5. All pairs still in different components are compared, whatever their number, but for those compared before: no link
+       between components is lost, and no pair is verified twice.
     """
     t = Fraction(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -212,6 +223,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
     lists = store(listed.join(shared, "token"))
     drop(listed)
     links = comps = None
+    tried: list[DataFrame] = []
     for turn in range(rounds + 1):
         listed = lists.withColumn("comp", F.col("key"))
         if comps is not None:
@@ -219,17 +231,24 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
         if turn:
             open_tokens = listed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("key").alias("last")).where("lo < hi").select("token", "last")
             listed = listed.join(open_tokens, "token")
-        hubs = listed.where("key = hub" if turn == 0 else "key = last")
-        pairs = store(_candidates(listed, hubs, t, "l.comp <> r.comp") if turn < rounds else _candidates(listed, listed, t, "l.key < r.key and l.comp <> r.comp"))
+        if turn < rounds:
+            pairs = _candidates(listed, listed.where("key = hub" if turn == 0 else "key = last"), t, "l.comp <> r.comp")
+        else:
+            pairs = _candidates(*_banded(listed, t), t, "(l.n < r.n or l.n = r.n and l.key < r.key) and l.comp <> r.comp")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+        pairs = store(pairs)
+        tried.append(pairs)
         if pairs.isEmpty():
             continue
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select(F.col("rep").alias("doc_id")).distinct()
-        sets = store(_sets(possible(docs, ends).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), k))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("sets"))
+        ends = store(ends)
+        sets = store_filtered(_sets(docs.join(ends.where("sets > 0"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), k))
         found = store(_verified(pairs, sets, t))
-        drop(pairs, sets)
+        drop(ends, sets)
         links = found if links is None else store(links.union(found))
         comps = connected_components(links)
-    drop(lists)
+    drop(lists, *tried)
     if comps is None:
         comps = classes.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
     least = comps.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))

@@ -41,6 +41,14 @@ def store(df: DataFrame) -> DataFrame:
     return out
 
 
+def store_filtered(df: DataFrame) -> DataFrame:
+    """:func:`store` for a join of whole texts with a stored table of some ids: Spark may put its own Bloom filter of the ids,
+    which has a fixed size, in front of the texts' shuffle. Spark does so where the ids' side has a condition on its rows."""
+    size = "spark__sql__optimizer__runtime__bloomFilter__"
+    with settings(df.sparkSession, **{f"{size}enabled": "true", f"{size}applicationSideScanSizeThreshold": "1", f"{size}creationSideThreshold": "1t"}):
+        return store(df)
+
+
 def drop(*frames: DataFrame | None) -> None:
     """Delete tables made by :func:`store` that nothing reads any more."""
     for df in frames:

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .idfilter import possible
-from .scratch import drop, store
+from .scratch import drop, store, store_filtered
 
 #: Words of the runs from which a window's anchor is chosen; words whose windows a reference block holds.
 GRAM, BLOCK = 10, 256
@@ -34,18 +33,22 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
     return at, low[at], np.searchsorted(at, ranges), words
 
 
+def _sha(text: np.ndarray, place: np.ndarray, a: int, b: int) -> str:
+    """SHA-256 of the words [a, b) joined by a space."""
+    return hashlib.sha256(text[place[a] : max(place[a], place[b] - 1)]).hexdigest()
+
+
 def _survey(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("h")
             for i, j, data, offsets in W.chunks(*W.text_bytes(batch.column("text"))):
                 at, low, ranges, _ = _anchors(data, offsets, window)
-                raw = data.tobytes()
-                count, sha, anchors = [], [], []
+                starts, ends, own = W.word_spans(data, offsets)
+                text, place = W.joined(data, starts, ends)
+                count, sha, anchors = np.diff(own), [], []
                 for d in range(j - i):
-                    own = raw[offsets[d] : offsets[d + 1]].split()
-                    count.append(len(own))
-                    sha.append(hashlib.sha256(b" ".join(own)).hexdigest())
+                    sha.append(_sha(text, place, own[d], own[d + 1]))
                     anchors.append(np.unique(low[ranges[d] : ranges[d + 1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), keys.slice(i, j - i), pa.array(count, pa.int64()), pa.array(sha), pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "h", "n_words", "sha", "anchors"])
 
@@ -81,54 +84,68 @@ def _blocks(owners: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, h, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "wanted")), strict=True):
-                own = text.encode().split()
-                texts = [b" ".join(own[b * BLOCK : (b + 1) * BLOCK + window - 1]).decode() for b in wanted]
-                n = len(wanted)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(wanted, pa.int64()), pa.array(texts, pa.string())], ["ref", "ref_h", "block", "words"])
+            ids, keys, wanted = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy(), batch.column("wanted")
+            for i, j, data, offsets in W.chunks(*W.text_bytes(batch.column("text"))):
+                starts, ends, ranges = W.word_spans(data, offsets)
+                text, place = W.joined(data, starts, ends)
+                for d in range(j - i):
+                    blocks = np.asarray(wanted[i + d].values)
+                    a = ranges[d] + blocks * BLOCK
+                    b = np.minimum(a + BLOCK + window - 1, ranges[d + 1])
+                    texts = [text[place[x] : place[y] - 1].tobytes() for x, y in zip(a, b, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), ids[i + d])), pa.array(np.full(len(blocks), keys[i + d])), pa.array(blocks), pa.array(texts, pa.binary()).cast(pa.string())], ["ref", "ref_h", "block", "words"])
 
     return owners.select("doc_id", "h", "text", "wanted").mapInArrow(run, "ref long, ref_h long, block long, words string")
 
 
-def factor_spans(words: list[bytes], blocks: list[list[bytes]], window: int) -> list[tuple[int, int]]:
+def factor_spans(doc: tuple[np.ndarray, np.ndarray], refs: tuple[np.ndarray, np.ndarray], ranges: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Greedy parse of a document relative to its reference blocks; the factors of ``window`` words or more, as [start, end).
 
-    At each place the longest match in any block becomes a factor, and the parse goes on behind it. A window may also lie
-    across a factor's end, so the places from which a window reaches over the end are looked up before.
+    Both sides are words joined by a space and their places (see :func:`words.joined`); ``ranges`` has each block's words. At
+    each place the longest match in any block becomes a factor, and the parse goes on behind it. A window may also lie
+    across a factor's end, so the places from which a window reaches over the end are looked up before. Hashes of windows
+    find the matches, and a factor's bytes are compared with the block's.
     """
-    number: dict[bytes, int] = {}
-    code = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], np.int32)
-    refs = [code(b) for b in blocks]
-    doc = code(words)
-    index: dict[bytes, list[tuple[int, int]]] = {}
-    for r, ref in enumerate(refs):
-        raw = ref.tobytes()
-        for p in range(len(ref) - window + 1):
-            index.setdefault(raw[4 * p : 4 * (p + window)], []).append((r, p))
-    raw, n, spans, p = doc.tobytes(), len(doc), [], 0
-    while p + window <= n:
-        best = 0
-        for r, q in index.get(raw[4 * p : 4 * (p + window)], ()):
-            ref = refs[r]
-            m = min(n - p, len(ref) - q)
+    (text, place), (ref_text, ref_place) = doc, refs
+    own, ref = (W.span_hashes(t, p[:-1], p[1:] - 1) for t, p in (doc, refs))
+    at = W.inner_starts(ranges, window)
+    known = W.rolling_hashes(ref, window)[at]
+    order = np.argsort(known, kind="stable")
+    known, at = known[order], at[order]
+    stop = ranges[np.searchsorted(ranges, at, "right")]
+    asked = W.rolling_hashes(own, window)
+    low, high = np.searchsorted(known, asked, "left"), np.searchsorted(known, asked, "right")
+    hits = np.flatnonzero(high > low)
+    spans, p, k = [], 0, 0
+    while (k := k + int(np.searchsorted(hits[k:], p))) < len(hits):
+        p, best = int(hits[k]), 0
+        for c in range(low[p], high[p]):
+            q = int(at[c])
+            m = min(len(own) - p, int(stop[c]) - q)
             if m > best:
-                differ = doc[p + window : p + m] != ref[q + window : q + m]
-                best = max(best, window + (int(differ.argmax()) if differ.any() else len(differ)))
+                differ = own[p : p + m] != ref[q : q + m]
+                m = int(differ.argmax()) if differ.any() else m
+                if m > best and m >= window and np.array_equal(text[place[p] : place[p + m] - 1], ref_text[ref_place[q] : ref_place[q + m] - 1]):
+                    best = m
         if best:
             spans.append((p, p + best))
-            p += best - window + 1
-        else:
-            p += 1
+        p += max(1, best - window + 1)
     return spans
 
 
 def _cut(doc: DataFrame, window: int) -> DataFrame:
+    """One document at a time, whatever a batch holds: memory is bounded by a text and its own blocks."""
+
     def run(batches):
         for batch in batches:
-            for i, h, text, refs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "refs")), strict=True):
-                own = text.encode().split()
-                spans = factor_spans(own, [r.encode().split() for r in refs], window)
-                keep = np.ones(len(own), bool)
+            for i in range(batch.num_rows):
+                own, refs = batch.column("text").slice(i, 1), batch.column("refs")[i].values
+                data, offsets = W.text_bytes(own)
+                text, place = W.joined(data, *W.word_spans(data, offsets)[:2])
+                data, offsets = W.text_bytes(refs)
+                starts, ends, ranges = W.word_spans(data, offsets)
+                spans = factor_spans((text, place), W.joined(data, starts, ends), ranges, window)
+                keep = np.ones(len(place) - 1, bool)
                 merged: list[list[int]] = []
                 for a, b in spans:
                     keep[a:b] = False
@@ -136,8 +153,8 @@ def _cut(doc: DataFrame, window: int) -> DataFrame:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
-                kept = b" ".join([w for w, k in zip(own, keep, strict=True) if k])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([h], pa.int64()), pa.array([int((~keep).sum())], pa.int64()), pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept.decode()]), pa.array([merged], pa.list_(pa.list_(pa.int64())))], ["doc_id", "h", "cut", "cut_sha", "kept", "spans"])
+                kept = text[np.repeat(keep, np.diff(place))][:-1].tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("h").slice(i, 1), pa.array([int((~keep).sum())], pa.int64()), pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept.decode()]), pa.array([merged], pa.list_(pa.list_(pa.int64())))], ["doc_id", "h", "cut", "cut_sha", "kept", "spans"])
 
     return doc.select("doc_id", "h", "text", "refs").mapInArrow(run, "doc_id long, h long, cut long, cut_sha string, kept string, spans array<array<long>>")
 
@@ -164,7 +181,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     anchors = survey.select("doc_id", "h", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     wanted = store(anchors.join(shared, "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("shared")))
-    repeated = store(possible(docs, wanted).join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]))
+    repeated = store_filtered(docs.join(wanted.where("size(shared) > 0"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]))
     drop(wanted)
     windows = store(_windows(repeated, window))
     owners = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "h", "pos")).alias("o"), F.max("doc_id").alias("last")).where("o.doc_id < last").select("hash", F.col("o.doc_id").alias("ref"), F.col("o.h").alias("ref_h"), F.expr(f"o.pos div {BLOCK}").alias("block"))

@@ -82,6 +82,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes with a space behind each, and where each word starts there (n + 1 offsets)."""
+    at = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    out = np.full(at[-1], 32, np.uint8)
+    solid = np.ones(len(out), bool)
+    solid[at[1:] - 1] = False
+    out[solid] = data[~((data == 32) | ((data >= 9) & (data <= 13)))]
+    return out, at
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span."""
     power, inverse = _power_tables(len(data) + 1)

@@ -5,8 +5,11 @@ import random
 import re
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 
+from lagframe.llm import ngram_join
+from lagframe.llm import words as W
 from lagframe.llm.components import connected_components
 from lagframe.llm.ngram_join import ngram_jaccard_join
 from lagframe.llm.substring_dedup import factor_spans, substring_dedup
@@ -125,10 +128,39 @@ def test_substring_dedup_of_repeated_rows_and_nothing(spark):
 
 
 def test_factors_reach_over_boundaries():
-    doc = [b"%d" % i for i in range(30)]
-    assert factor_spans(doc, [doc[:20], doc[12:]], 10) == [(0, 20), (12, 30)]
-    assert factor_spans(doc, [doc[:20], doc[15:]], 10) == [(0, 20), (15, 30)]
-    assert factor_spans(doc, [doc[:9]], 10) == []
+    def parsed(doc, refs, window):
+        side = lambda texts: W.text_bytes(pa.array([" ".join(t) for t in texts], pa.string()))
+        own, (data, offsets) = side([doc]), side(refs)
+        starts, ends, ranges = W.word_spans(data, offsets)
+        return factor_spans(W.joined(own[0], *W.word_spans(*own)[:2]), W.joined(data, starts, ends), ranges, window)
+
+    doc = [f"{i}" for i in range(30)]
+    assert parsed(doc, [doc[:20], doc[12:]], 10) == [(0, 20), (12, 30)]
+    assert parsed(doc, [doc[:20], doc[15:]], 10) == [(0, 20), (15, 30)]
+    assert parsed(doc, [doc[:9]], 10) == []
+    assert parsed(["a"] * 40, [["a"] * 15], 10) == [(0, 15), (6, 21), (12, 27), (18, 33), (24, 39), (30, 40)]
+
+
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 9)}"
+        docs.append((i, " ".join(w)))
+    seen = []
+    verified = ngram_join._verified
+
+    def recorded(pairs, sets, t):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return verified(pairs, sets, t)
+
+    monkeypatch.setattr(ngram_join, "_verified", recorded)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(frame(spark, docs), 3, "0.7").collect()}
+    assert got == components(docs, 3, "0.7")
+    assert len(seen) == len(set(seen)) > 0
 
 
 def test_one_id_with_two_texts(spark):
