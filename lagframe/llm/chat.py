@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASSISTANT = "assistant"
 
@@ -24,7 +25,7 @@ def _rendered(turn: Column) -> Column:
     return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit("\n"))
 
 
-@F.pandas_udf("array<struct<start: bigint, end: bigint>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 def _spans(role: pd.Series, text: pd.Series, spoken: pd.Series) -> pd.Series:
     """Where the spoken turns' texts lie in the rendered turns, by the turns' numbers of characters: one running sum."""
     out = []

@@ -9,13 +9,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sample import stratified_ids
 from .scratch import drop, store
 
-#: Labelled rows that the classifier learns from, at most, chosen by a hash of the id; words that it keeps.
-SAMPLE_ROWS, VOCABULARY = 10_000, 2048
+#: Labelled rows of a domain that the classifier learns from, at most, chosen by a hash of the id; words that it keeps.
+SAMPLE_ROWS, VOCABULARY = 5_000, 2048
 #: A word's log-odds are cut to this, so that no word decides alone; smoothing counts.
 LIMIT, SMOOTH = 3.0, 0.5
-ROUNDS, CLOSE = 40, 1e-6
+#: Rounds of the fit at most, the relative error at which it ends, and the smallest part of a step that it tries.
+ROUNDS, CLOSE, LEAST_STEP = 40, 1e-6, 1 / 64
 _SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
@@ -33,15 +35,18 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     """``doc_id``, ``text_hash``, ``n_tokens`` (words) and one column ``p0``, ``p1``, ... for the probability of each domain.
 
     A naive Bayes classifier over distinct words: trained on ``labelled(doc_id, domain)``, keeping the words that tell most.
-    Without labelled rows all domains are equally likely.
+    At most ``SAMPLE_ROWS`` labelled documents of each domain are learned from; the prior counts all of them. Labels without
+    a document teach nothing. Without labelled documents all domains are equally likely.
     """
     size = len(domains)
     number = F.lit(None).cast("int")
     for i, d in enumerate(domains):
         number = F.when(F.col("domain") == d, i).otherwise(number)
-    picked = labelled.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "k").limit(SAMPLE_ROWS)
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = own.join(F.broadcast(picked), "doc_id").select("k", F.explode(_words()).alias("word"))
+    marked = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("k"))
+    picked, marks = stratified_ids(marked.join(own.select("doc_id"), "doc_id", "left_semi"), "k", SAMPLE_ROWS)
+    known = {r.k: r.n for r in marks.collect()}  # a row a domain
+    sample = own.join(F.broadcast(picked), "doc_id").select("k", F.explode(_words()).alias("word"))  # SAMPLE_ROWS a domain
     counts = sample.groupBy("word").agg(*[F.count_if(F.col("k") == i).alias(f"n{i}") for i in range(size)])
     counts = store(counts)
     totals = counts.where("word = ''").first()
@@ -59,7 +64,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     rows = rows.select("row", "doc_id", "text_hash", "n_tokens", F.explode("words").alias("word"))
     hit = rows.join(F.broadcast(words), "word")  # at most VOCABULARY + 1 rows
     sums = hit.groupBy("row", "doc_id", "text_hash", "n_tokens").agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(size)])
-    prior = [float(np.log((x + 1) / (every + size))) for x in n]
+    prior = [float(np.log((known.get(i, 0) + 1) / (sum(known.values()) + size))) for i in range(size)]
     logit = [F.col(f"s{i}") + prior[i] for i in range(size)]
     top = F.greatest(*logit) if size > 1 else logit[0]
     e = [F.exp(x - top) for x in logit]
@@ -70,32 +75,39 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
 def fit_rates(table: DataFrame, targets: list[float]) -> DataFrame:
     """Add ``rate`` >= 0 to ``table(n_tokens, p0, p1, ...)`` so that the sums of rate * n_tokens * p match the targets.
 
-    Least squares by projected gradients from rate 1: r <- max(0, r - p . c), where c is the gradient (the domains' excess)
-    times the inverse of the domains' Gram matrix over the documents with positive rates. A round is one aggregation of
-    K + K * K sums. Where the targets can't be met (a domain without mass), the excess is made as small as this gets it.
+    Least squares by projected gradients from rate 1: r <- max(0, r - s * p . c), where c is the gradient (the domains'
+    excess) times the inverse of the domains' Gram matrix over the documents with positive rates. A round is one
+    aggregation of K + K * K sums. A round that doesn't lower the squared excess is taken back and its step s halved, so
+    the excess falls from round to round; the fit ends when it is within ``CLOSE`` of the targets, or when no step down to
+    ``LEAST_STEP`` lowers it by a thousandth part. Where the targets can't be met (a domain without mass), the excess is
+    then as small as this gets it.
     """
     size = len(targets)
     p = [F.col(f"p{i}") for i in range(size)]
     goal = np.array(targets, float)
-    best, kept = (np.inf, None), table.withColumn("rate", F.lit(1.0))
-    held = None
-    for turn in range(ROUNDS):
+    kept = trial = table.withColumn("rate", F.lit(1.0))
+    error, step, part, held, moves = np.inf, None, 1.0, None, 0
+    for _ in range(ROUNDS):
         live = (F.col("rate") > 0).cast("double") * F.col("n_tokens")
-        row = kept.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * x) for x in p], *[F.sum(live * x * y) for x in p for y in p]).first()
+        row = trial.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * x) for x in p], *[F.sum(live * x * y) for x in p for y in p]).first()
         values = np.array([float(v or 0) for v in row])
         excess, gram = values[:size] - goal, values[size:].reshape(size, size)
-        error = float(np.abs(excess).sum()) / max(float(goal.sum()), 1.0)
-        if error <= CLOSE or error >= best[0] * (1 - 1e-9) and turn > 8:
-            break
-        best = (min(error, best[0]), None)
-        step = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ excess
-        move = sum((x * float(step[i]) for i, x in enumerate(p[1:], 1)), p[0] * float(step[0]))
-        kept = kept.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
-        if turn % 6 == 5:
-            stored = store(kept)
-            if held is not None:
+        now = float(excess @ excess)
+        if now < error * 0.999:
+            kept, error, part, moves = trial, now, min(1.0, 2 * part), moves + 1
+            if np.abs(excess).sum() <= CLOSE * max(float(goal.sum()), 1.0):
+                break
+            step = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ excess
+            if moves % 6 == 0:  # the expression of the rates stays short
+                stored = store(kept)
                 drop(held)
-            kept = held = stored
+                kept = held = stored
+        else:
+            part /= 2
+            if part < LEAST_STEP:
+                break
+        move = sum((x * float(part * step[i]) for i, x in enumerate(p[1:], 1)), p[0] * float(part * step[0]))
+        trial = kept.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
     return kept
 
 

@@ -110,11 +110,11 @@ SQL = {
     "op9_chat_preference": r"""
         WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
         n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
-        l AS (SELECT conv_id, max(i) AS at FROM n WHERE role = 'assistant' GROUP BY conv_id),
-        r AS (SELECT l.conv_id, at, max(text) FILTER (WHERE i = at) AS good,
-                     coalesce(max_by(text, i) FILTER (WHERE i < at AND role = 'assistant'), '') AS bad
+        l AS (SELECT conv_id, max(i) AS final FROM n WHERE role = 'assistant' GROUP BY conv_id),
+        r AS (SELECT l.conv_id, final, max(text) FILTER (WHERE i = final) AS good,
+                     coalesce(max_by(text, i) FILTER (WHERE i < final AND role = 'assistant'), '') AS bad
               FROM l JOIN n ON l.conv_id = n.conv_id GROUP BY ALL),
-        p AS (SELECT *, CAST(CASE WHEN good = bad THEN at ELSE at - 1 END AS INTEGER) AS prompt_turns FROM r)
+        p AS (SELECT *, CAST(CASE WHEN good = bad THEN final ELSE final - 1 END AS INTEGER) AS prompt_turns FROM r)
         SELECT p.conv_id AS pair_id, prompt_turns,
                coalesce(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY i) FILTER (WHERE i <= prompt_turns), '') AS prompt,
                CASE WHEN good = bad THEN '' ELSE '<|assistant|>' || chr(10) || good || chr(10) END AS chosen,

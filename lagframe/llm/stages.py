@@ -10,7 +10,8 @@ from .ngram_join import ngram_jaccard_join
 from .scratch import store
 from .substring_dedup import substring_dedup
 
-#: Wanted token shares of the mixing stage. Good text is asked for a little more than it has, so that it stays whole.
+#: Wanted token shares of the mixing stage, and the wanted total by all tokens. No document is taken twice, so of good text,
+#: of which more is asked for than there is, all stays, and likely low-quality text is thinned.
 WEIGHTS, BUDGET = {"good": 0.97, "low": 0.03}, 1.1
 
 
@@ -45,12 +46,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says: likely low-quality text is thinned, clean text is kept."""
+    """Documents whose rate rounds to none go, and the others stay once: likely low-quality text is thinned, clean text is kept.
+    Rows of one id and text stay or go together; null ids and texts are rated like any other."""
     rated = mixing.mix(docs, mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), WEIGHTS, BUDGET)
-    copies = store(rated.groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies")))
+    gone = store(rated.where("copies = 0").select("doc_id", "text_hash").distinct())
     own = docs.withColumn("text_hash", F.xxhash64("text"))
-    own = own.join(copies, _same_row(own, copies)).select(*[own[c] for c in docs.columns], "copies")
-    return own.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    return own.join(gone, _same_row(own, gone), "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,5 +115,6 @@ def test_query_returns_the_masks(spark):
         if want[0] == want[1]:
             want = [], []
         changed += bool(want[0])
-        assert ([r.chosen[s.start : s.end] for s in r.chosen_mask], [r.rejected[s.start : s.end] for s in r.rejected_mask]) == want
+        cut = lambda text, mask: [text[int(s.split("-")[0]) : int(s.split("-")[1])] for s in mask.split()]
+        assert (cut(r.chosen, r.chosen_mask), cut(r.rejected, r.rejected_mask)) == want
     assert changed > 0
