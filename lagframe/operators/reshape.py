@@ -58,13 +58,14 @@ def wide_to_long(df: DataFrame, ids: list[str], columns: list[str], name: str, v
     return out.withColumn(name, F.regexp_replace(name, f"^{re.escape(prefix)}", "")) if prefix else out
 
 
-def long_to_wide(df: DataFrame, key: str, year: str, years: list[int], values: list[str], base_year: int | None = None) -> DataFrame:
-    """Year-indexed columns ``<value>_<year>`` of the first value by key and year; with ``base_year`` only keys of that year.
+def long_to_wide(df: DataFrame, key: str, year: str, years: list[int], values: list[str], base_year: int | None = None, base_value: str | None = None) -> DataFrame:
+    """Year-indexed columns ``<value>_<year>`` of the first value by key and year; with ``base_year`` only keys of that year,
+    and with ``base_value`` only those that have this column's value there.
 
     One shuffle, with conditional aggregates instead of a join for each year.
     """
     cells = [F.max(F.when(F.col(year) == y, F.col(v))).alias(f"{v}_{y}") for v in values for y in years]
-    has = [] if base_year is None else [F.bool_or(F.col(year) == base_year).alias("_base")]
+    has = [] if base_year is None else [F.bool_or((F.col(year) == base_year) & (F.lit(True) if base_value is None else F.col(base_value).isNotNull())).alias("_base")]
     out = df.groupBy(key).agg(*cells, *has)
     return out if base_year is None else out.where("_base").drop("_base")
 
@@ -74,6 +75,7 @@ def bind_rows(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def with_ordinal(df: DataFrame, file: Column | None = None) -> DataFrame:
-    """File and position of each row as scanned, for keep-first; to be written before a second use."""
-    return df.withColumn("file", F.col("_metadata.file_path") if file is None else file).withColumn("ordinal", F.monotonically_increasing_id())
+def with_ordinal(df: DataFrame) -> DataFrame:
+    """Where each row of a file scan stands, for keep-first: ``file``, ``block`` (the first byte of its part of the file) and
+    ``ordinal``, which rises within a part. In this order rows are as listed, however the scan was split."""
+    return df.withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "ordinal": F.monotonically_increasing_id()})

@@ -47,9 +47,10 @@ def check(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def check_types(df: DataFrame, types: dict[str, set[str]]) -> DataFrame:
-    """``rule``, ``passes``: whether each column is there with one of the types. Reads the schema only."""
+    """As :func:`check`, one item for each column: whether it is there with one of the types. Reads the schema only."""
     have = {f.name: f.dataType.typeName() for f in df.schema}
-    return df.sparkSession.createDataFrame([(c, have.get(c) in kinds) for c, kinds in types.items()], "rule string, passes boolean")
+    rows = [(c, 1, int(have.get(c) in kinds), int(have.get(c) not in kinds), 0) for c, kinds in types.items()]
+    return df.sparkSession.createDataFrame(rows, "rule string, items long, passes long, fails long, n_null long")
 
 
 def check_unique(df: DataFrame, columns: list[str], name: str = "unique") -> DataFrame:

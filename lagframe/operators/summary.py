@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagframe.functions.dates import floor_month
+
 from .joins import with_scalar
 
 DELAYS = ["acceptance_delay", "publication_delay"]
@@ -21,13 +23,13 @@ def _percent(part: Column, whole: Column) -> Column:
 
 def yearly_share(df: DataFrame, year: Column) -> DataFrame:
     """``article_year``, ``article_number``, ``all_articles``, ``percentage``; null years are left out."""
-    counts = df.select(year.alias("article_year")).where("article_year is not null").groupBy("article_year").agg(F.count("*").alias("article_number"))
-    out = with_scalar(counts, df.agg(F.count("*").alias("all_articles")))
+    counts = df.groupBy(year.alias("article_year")).agg(F.count("*").alias("article_number"))
+    out = with_scalar(counts, counts.agg(F.sum("article_number").alias("all_articles"))).where("article_year is not null")
     return out.withColumn("percentage", _percent(F.col("article_number"), F.col("all_articles")))
 
 
 def monthly_delays(df: DataFrame, date: str = "article_date") -> DataFrame:
-    return df.groupBy(F.trunc(date, "month").alias("month")).agg(F.count("*").alias("n"), F.avg(DELAYS[0]).alias("mean_acc_delay"), F.avg(DELAYS[1]).alias("mean_pub_delay"))
+    return df.groupBy(floor_month(F.col(date)).alias("month")).agg(F.count("*").alias("n"), F.avg(DELAYS[0]).alias("mean_acc_delay"), F.avg(DELAYS[1]).alias("mean_pub_delay"))
 
 
 def flag_share(df: DataFrame, flag: Column, year: Column, strict_null: bool = False) -> DataFrame:
@@ -39,15 +41,17 @@ def flag_share(df: DataFrame, flag: Column, year: Column, strict_null: bool = Fa
     count = F.count_if("_flag")
     if strict_null:
         count = F.when(F.count_if(F.col("_flag").isNull()) == 0, count)
-    totals = rows.agg(F.count("*").alias("all_articles"), count.alias("all_flagged"))
-    out = rows.where("article_year is not null").groupBy("article_year").agg(F.count("*").alias("all_this_year"), count.alias("flagged"))
-    out = with_scalar(out, totals)
+    out = rows.groupBy("article_year").agg(F.count("*").alias("all_this_year"), count.alias("flagged"))
+    whole = F.sum("flagged") if not strict_null else F.when(F.count_if(F.col("flagged").isNull()) == 0, F.sum("flagged"))
+    totals = out.agg(F.sum("all_this_year").alias("all_articles"), whole.alias("all_flagged"))
+    out = with_scalar(out, totals).where("article_year is not null")
     return out.withColumns({"percentage_flagged": _percent(F.col("flagged"), F.nullif(F.col("all_flagged"), F.lit(0))), "percentage_all": _percent(F.col("flagged"), F.col("all_articles")), "percentage_this_year": _percent(F.col("flagged"), F.col("all_this_year"))})
 
 
 def category_share(df: DataFrame, category: str) -> DataFrame:
     """Rows by category, null being one, and their share of all rows."""
-    out = with_scalar(df.groupBy(category).agg(F.count("*").alias("n")), df.agg(F.count("*").alias("all_articles")))
+    counts = df.groupBy(category).agg(F.count("*").alias("n"))
+    out = with_scalar(counts, counts.agg(F.sum("n").alias("all_articles")))
     return out.withColumn("percentage_all", _percent(F.col("n"), F.col("all_articles")))
 
 
@@ -130,15 +134,15 @@ def subset_delays(df: DataFrame, keep: Column) -> DataFrame:
 
 def subset_frequency(df: DataFrame, keep: Column, by: Column, name: str) -> DataFrame:
     """Rows of a subset by group, and their share of the subset."""
-    own = df.where(keep).withColumn(name, by)
-    out = with_scalar(own.groupBy(name).agg(F.count("*").alias("n")), own.agg(F.count("*").alias("total")))
+    counts = df.where(keep).withColumn(name, by).groupBy(name).agg(F.count("*").alias("n"))
+    out = with_scalar(counts, counts.agg(F.sum("n").alias("total")))
     return out.select(name, "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def monthly_deciles(df: DataFrame, date: str, value: str) -> DataFrame:
     """``month``, ``decile`` (0.1 to 0.9), ``value``."""
     at = [i / 10 for i in range(1, 10)]
-    q = df.groupBy(F.trunc(date, "month").alias("month")).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("q"))
+    q = df.groupBy(floor_month(F.col(date)).alias("month")).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("q"))
     return q.select("month", F.posexplode("q").alias("i", "value")).select("month", ((F.col("i") + 1) / 10).alias("decile"), "value")
 
 
@@ -191,3 +195,8 @@ def attrition(df: DataFrame, file: str, stages: dict[str, Column]) -> DataFrame:
         passed = passed & condition
         out.append(F.count_if(passed).alias(name))
     return df.groupBy(file).agg(*out)
+
+
+def attrition_total(per_file: DataFrame, file: str) -> DataFrame:
+    """The sums of :func:`attrition`'s counts over all files: one row."""
+    return per_file.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per_file.columns if c != file])

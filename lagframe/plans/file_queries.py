@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lagframe.functions.dates import parse_partial_date
 from lagframe.sources import readers
 from lagframe.sources.shared import delete_at_end, shared_dir
+from lagframe.streaming.ingest import ingest_new
 
 from .facts import table
 from .queries import query
@@ -62,10 +63,12 @@ def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey || '' AS JrId, p_name || ': ' || p_type AS JournalTitle, CASE WHEN p_size > 25 THEN p_brand END AS NlmId FROM part")
 def keyvalue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat_ws("\n", F.concat(F.lit("JrId: "), "p_partkey"), F.concat(F.lit("JournalTitle:  "), "p_name", F.lit(": "), "p_type"), F.when(F.col("p_size") > 25, F.concat(F.lit("NlmId: "), "p_brand")), F.lit("--------"))
+    dashes = F.concat(F.repeat(F.lit("-"), (F.col("p_partkey") % 9 + 1).cast("int")), F.expr("if(p_partkey % 4 = 0, ' end: of record', '')"))
+    parts = [F.concat(F.lit("JrId: "), "p_partkey"), F.concat(F.lit("JournalTitle:  "), "p_name", F.lit(": "), "p_type"), F.when(F.col("p_size") > 25, F.concat(F.lit("NlmId: "), "p_brand")), dashes]
+    line = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("\r\n", *parts)).otherwise(F.concat_ws("\n", *parts))
     path = _folder(spark)
     table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
-    return readers.read_keyvalue_records(spark, path, ["JrId", "JournalTitle", "NlmId"], "--------\n")
+    return readers.read_keyvalue_records(spark, path, ["JrId", "JournalTitle", "NlmId"])
 
 
 @query("SELECT event_type, event_type <> 'error' AS valid FROM events GROUP BY 1")
@@ -95,10 +98,8 @@ def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv2_year_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), "o_orderkey", F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")).alias("price"), F.expr("if(o_orderstatus = 'O', 'NA', o_orderstatus)").alias("status"))
     path = _folder(spark)
-    years = range(1995, 2002)
-    for y in years:
-        o.where(F.col("y") == y).drop("y").write.option("header", True).option("sep", ";").csv(f"{path}/list {y}.csv")
-    df = readers.read_year_shards(spark, f"{path}/list {{year}}.csv", years, ("price",), "o_orderkey long, price string, status string")
+    o.write.partitionBy("y").option("header", True).option("sep", ";").csv(path)
+    df = readers.read_year_shards(spark, f"{path}/y={{year}}", None, ("price",), "o_orderkey long, price string, status string")
     return df.groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"), F.count("status").alias("known"))
 
 
@@ -109,6 +110,17 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv_na(spark, path).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count("c_name").alias("named"))
 
 
+@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that land in two lots, each taken in once by the incremental ingest, which runs three times."""
+    path = _folder(spark)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for lot in ("o_orderkey % 3 = 0", "o_orderkey % 3 <> 0", "false"):
+        o.where(lot).write.mode("append").parquet(f"{path}/in")
+        ingest_new(spark, f"{path}/in", f"{path}/out", f"{path}/ledger", "o_orderkey long, o_orderstatus string")
+    return spark.read.parquet(f"{path}/out").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("SELECT o_orderkey % 13 || '.xml.gz' AS name, count(*) AS n FROM orders WHERE o_orderkey % 13 NOT IN (2, 5) GROUP BY 1")
 def ledger_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "orders").select(F.concat(F.lit("/in/"), F.expr("o_orderkey % 13"), F.lit(".xml.gz")).alias("path"))

@@ -343,6 +343,12 @@ def attrition(spark, sf_dir):
     return summary.attrition(facts(spark, sf_dir), "l_linenumber", {"in_order": F.expr("accepted > received"), "of_type": F.expr("l_returnflag <> 'N'"), "recent": F.expr("article_date >= date'1998-01-01'")})
 
 
+@query("SELECT count(*) AS raw, count(*) FILTER (WHERE accepted > received) AS in_order, count(*) FILTER (WHERE accepted > received AND l_returnflag <> 'N') AS of_type FROM facts", views=True)
+def attrition_total(spark, sf_dir):
+    per_file = summary.attrition(facts(spark, sf_dir), "l_linenumber", {"in_order": F.expr("accepted > received"), "of_type": F.expr("l_returnflag <> 'N'")})
+    return summary.attrition_total(per_file, "l_linenumber")
+
+
 # Deduplication
 
 _TIE_SQL = ", ".join(TIE)
@@ -458,9 +464,26 @@ def sentinel_null(spark, sf_dir):
     return reshape.null_sentinels_everywhere(df)
 
 
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part")
+def drop_columns_like(spark, sf_dir):
+    return reshape.drop_like(table(spark, sf_dir, "part"), "SIZE$|price")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 4 = 0 OR 1990 + s_nationkey <= 2005")
+def still_running(spark, sf_dir):
+    df = table(spark, sf_dir, "supplier").withColumn("ceased", F.expr("if(s_suppkey % 4 = 0, null, 1990 + s_nationkey)"))
+    return filters.not_ceased(df, 2005).select("s_suppkey", "s_name")
+
+
 # Scalar functions
 
 
+@query("SELECT p_partkey, starts_with(p_brand, 'Brand#1') AS is_first, substring(p_brand, 7) AS number, length(p_name) AS n FROM part")
+def prefix_and_substring(spark, sf_dir):
+    brand = F.col("p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", text.head_is(brand, "Brand#1").alias("is_first"), text.after(brand, 6).alias("number"), F.length("p_name").cast("long").alias("n"))
+
+
 @query("WITH t AS (SELECT p_partkey, 'D01:' || p_name || ';D02:' || p_type AS types FROM part) SELECT p_partkey, array_to_string(regexp_extract_all(types, ':([^;]+)', 1), ', ') AS types FROM t")
 def type_extract(spark, sf_dir):
     types = F.concat(F.lit("D01:"), "p_name", F.lit(";D02:"), "p_type")
@@ -537,6 +560,25 @@ def rule_summary(spark, sf_dir):
     return rules.check(_with_gaps(spark, sf_dir), wanted)
 
 
+_KINDS = {"l_orderkey": {"integer", "long"}, "l_shipdate": {"date", "timestamp", "timestamp_ntz"}, "l_returnflag": {"string"}, "l_quantity": {"double", "float"}, "l_suppkey": {"string"}}
+
+
+@query(
+    """SELECT rule, 1::BIGINT AS items, CASE WHEN fits THEN 1 ELSE 0 END::BIGINT AS passes, CASE WHEN fits THEN 0 ELSE 1 END::BIGINT AS fails, 0::BIGINT AS n_null FROM (
+           SELECT 'l_orderkey' AS rule, bool_and(typeof(l_orderkey) IN ('INTEGER', 'BIGINT')) AS fits FROM lineitem
+           UNION ALL SELECT 'l_shipdate', bool_and(typeof(l_shipdate) LIKE 'TIMESTAMP%' OR typeof(l_shipdate) = 'DATE') FROM lineitem
+           UNION ALL SELECT 'l_returnflag', bool_and(typeof(l_returnflag) = 'VARCHAR') FROM lineitem
+           UNION ALL SELECT 'l_quantity', bool_and(typeof(l_quantity) IN ('DOUBLE', 'FLOAT')) FROM lineitem
+           UNION ALL SELECT 'l_suppkey', bool_and(typeof(l_suppkey) = 'VARCHAR') FROM lineitem)
+       UNION ALL SELECT 'l_comment', 1, 0, 1, 0
+       UNION ALL SELECT 'l_tax_known', count(*), count(l_tax), count(*) - count(l_tax), 0 FROM lineitem"""
+)
+def rule_types(spark, sf_dir):
+    """Type rules, one of which a column breaks and one of which names a column that isn't there, and a rule over the rows."""
+    df = table(spark, sf_dir, "lineitem")
+    return rules.check_types(df, _KINDS | {"l_comment": {"string"}}).union(rules.check(df, [rules.not_missing("l_tax_known", "l_tax")]))
+
+
 @query("+ s AS (SELECT title, count(*) AS m FROM facts GROUP BY 1) SELECT 'title_unique' AS rule, CAST(sum(m) AS BIGINT) AS items, count(*) FILTER (WHERE m = 1) AS passes, CAST(sum(m) FILTER (WHERE m > 1) AS BIGINT) AS fails, 0::BIGINT AS n_null FROM s", views=True)
 def rule_unique(spark, sf_dir):
     return rules.check_unique(facts(spark, sf_dir), ["title"], "title_unique")

@@ -16,7 +16,8 @@ XML_FILES = "*{.nxml,.xml,.xml.gz}"
 
 def _day(d: Column) -> Column:
     """``yyyy-MM-dd`` as far as the parts are there; month names are numbers."""
-    month = F.coalesce(F.date_format(F.try_to_timestamp(d["Month"], F.lit("MMM")), "MM"), F.lpad(d["Month"], 2, "0"))
+    name = F.date_format(F.try_to_timestamp(d["Month"], F.lit("MMM")), "MM")
+    month = F.when(d["Month"].rlike("^[0-9]+$"), F.lpad(d["Month"], 2, "0")).otherwise(F.coalesce(name, F.lpad(d["Month"], 2, "0")))
     return F.concat_ws("-", d["Year"], month, F.when(month.isNotNull(), F.lpad(d["Day"], 2, "0")))
 
 
@@ -74,9 +75,10 @@ def read_csv2(spark: SparkSession, path: str | list[str], decimals: tuple[str, .
     return df.withColumns({c: decimal_comma(F.col(c)) for c in decimals}) if decimals else df
 
 
-def read_year_shards(spark: SparkSession, pattern: str, years: range | list[int], decimals: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
-    """One file a year, named by ``pattern`` with ``{year}``, read as one scan with the year of each row from its file's name."""
-    df = read_csv2(spark, [pattern.format(year=y) for y in years], (), schema)
+def read_year_shards(spark: SparkSession, pattern: str, years: range | list[int] | None, decimals: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
+    """One file a year, named by ``pattern`` with ``{year}``, read as one scan with the year of each row from its file's name;
+    without ``years`` all files that there are."""
+    df = read_csv2(spark, [pattern.format(year=y) for y in (years or ["*"])], (), schema)
     path = F.url_decode(F.input_file_name())
     name = F.regexp_extract(path, r"([^/]+?)(?:/part-[^/]*)?$", 1)  # a shard may be a folder of parts
     df = df.withColumn("year", F.regexp_extract(name, r"(\d{4})\D*$", 1).try_cast("int"))
@@ -88,13 +90,14 @@ def read_processed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("header", True).option("sep", "\t").option("nullValue", "NA").schema(ARTICLE_SCHEMA).csv(path)
 
 
-def read_keyvalue_records(spark: SparkSession, path: str | list[str], keys: list[str], separator: str) -> DataFrame:
-    """``Key: value`` lines in records set apart by a separator line; a column for each key.
+def read_keyvalue_records(spark: SparkSession, path: str | list[str], keys: list[str]) -> DataFrame:
+    """``Key: value`` lines in records set apart by lines that start with ``-``; a column for each key.
 
-    Lines are cut at the first colon and trimmed on both sides; the last record counts without a separator behind it too;
-    records without any of the keys are left out. Of a repeated key the last value counts.
+    Lines end in LF or CRLF, are cut at the first colon and trimmed on both sides; the last record counts without a separator
+    behind it too; records without any of the keys are left out. Of a repeated key the last value counts. What a separator
+    line says behind its dash is no record's, unless it is one of the keys.
     """
-    records = spark.read.option("lineSep", separator).text(path)
+    records = spark.read.option("lineSep", "\n-").text(path)
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
     of = lambda key: F.try_element_at(F.filter("pairs", lambda p: p["k"] == key), F.lit(-1))["v"]

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagframe.schema import ARTICLE_COLUMNS
+
 
 def write_articles(df: DataFrame, path: str, date: str = "article_date") -> None:
     """Parquet by year of the article, at a new path: an input is never overwritten."""
     df.withColumn("article_year", F.year(date)).write.partitionBy("article_year").parquet(path)
 
 
+def write_processed(df: DataFrame, path: str) -> None:
+    """Processed articles as tab-separated text with a header, for :func:`~lagframe.sources.readers.read_processed`; a missing value
+    is ``NA``."""
+    df.select(ARTICLE_COLUMNS).write.option("header", True).option("sep", "\t").option("nullValue", "NA").option("emptyValue", "").csv(path)
+
+
 def write_table(df: DataFrame, path: str, order: list[str] | None = None, row_number: bool = False) -> None:
     """A small result table as one CSV file with a header, sorted, with row numbers if wanted."""
     if row_number:

@@ -18,7 +18,9 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def one(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
-        return repr(round(v, 6)) if isinstance(v, float) else str(v)
+        if isinstance(v, float):  # clients differ in whether whole numbers with nulls beside them are floats
+            return str(int(v)) if v.is_integer() else repr(round(v, 6))
+        return str(v)
 
     df = df[sorted(df.columns)]
     return sorted(tuple(map(one, r)) for r in df.itertuples(index=False))

@@ -2,7 +2,7 @@
 
 import pytest
 
-import lagframe.plans.file_queries  # noqa: F401
+import lagframe.plans.article_queries  # noqa: F401
 from lagframe.plans.queries import QUERIES, SQL
 
 from .compare import DATA, database, rows

@@ -51,13 +51,13 @@ def test_article_pipeline(spark):
     doaj = spark.createDataFrame([("1234-5678", "", "Yes", "100", "Yes")], "print_issn string, e_issn string, apc string, apc_amount string, doaj_compliant string")
     national = spark.createDataFrame([("1234-5678", None, "No", "Health Sciences", "F", "0", False, 1990, "1", "2"), ("9999-9999", None, "No", "H", "F", "1", False, 1990, "1", "1")], "print_issn string, e_issn string, npi_open_access string, npi_discipline string, npi_field string, is_conference string, is_series boolean, established int, npi_level_19 string, npi_level_20 string")
     retractions = spark.createDataFrame([("n", "r", "3/1/2021 0:00", "5/1/2020 0:00", None, "d1")], "retraction_nature string, reason string, retraction_date string, original_date string, doi string, retraction_doi string")
-    done = plan.enrich_articles(plan.clean_articles(raw(spark)), plan.quartile_list(shards), plan.classification_list(classes), plan.open_access_list(doaj), plan.national_list(national), plan.retraction_list(retractions))
+    done = plan.enrich_articles(plan.clean_articles(raw(spark)), plan.quartile_list(shards, 2020), plan.classification_list(classes), plan.open_access_list(doaj), plan.national_list(national), plan.retraction_list(retractions))
     out = plan.distinct_articles(done, ["file", "ordinal"]).select(ARTICLE_COLUMNS).collect()
     assert len(out) == 1
     a = out[0]
     assert (a.doi, a.is_covid, a.quartile_year, a.rank_year, a.h_index_year, a.npi_year, a.open_access, a.is_mega) == ("d1", True, "Q1", 7, 30, 2, True, False)
     assert (a.acceptance_delay, a.publication_delay, a.article_date, a.is_retracted) == (60, 92, dt.date(2020, 5, 1), True)
-    assert (a.discipline, a.publication_types, a.keywords) == ("life_sciences", "Journal Article, Review", "a,b")
+    assert (a.asjc, a.is_psych, a.discipline, a.publication_types, a.keywords) == (3201, True, "social_sciences_and_humanities", "Journal Article, Review", "a,b")
 
 
 def test_sinks(spark, tmp_path):
