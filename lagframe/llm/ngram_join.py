@@ -217,11 +217,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
     reps = table.join(classes.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d and doc_id = rep")).dropDuplicates(["digest", "doc_id"])
     open_reps = reps.join(lone, "key", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).withColumn("more", F.col("length") - F.col("lone")).where("more > 0")
     # positions of front shingles behind the others aren't known; 0 makes the positional filter let them pass
-    listed = open_reps.select("key", "n", "hist", "plain", "lone", F.posexplode(F.expr("if(more > plain, tokens, slice(tokens, 1, more))")).alias("at", "token"))
-    listed = store(listed.select("key", "n", "hist", "token", F.expr("if(at < plain, lone + at, 0)").alias("pos")))
-    shared = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("key").alias("hub")).where("m > 1").drop("m")
-    lists = store(listed.join(shared, "token"))
+    listed = open_reps.select("key", "rep", "n", "hist", "plain", "lone", F.posexplode(F.expr("if(more > plain, tokens, slice(tokens, 1, more))")).alias("at", "token"))
+    listed = store(listed.select("key", "rep", "n", "hist", "token", F.expr("if(at < plain, lone + at, 0)").alias("pos")))
+    shared = listed.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1").drop("m")
+    lists = store(listed.join(shared, "token").withColumn("first", F.col("rep") == F.col("first")).drop("rep"))
     drop(listed)
+    # a text comes before its copies, so the class with the smallest id is the likeliest to be like the others
+    hub = lists.where("first").groupBy("token").agg(F.min("key").alias("hub"))
     links = comps = None
     tried: list[DataFrame] = []
     for turn in range(rounds + 1):
@@ -229,10 +231,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
         if comps is not None:
             listed = lists.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
         if turn:
-            open_tokens = listed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("key").alias("last")).where("lo < hi").select("token", "last")
-            listed = listed.join(open_tokens, "token")
+            open_tokens = listed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("key").alias("hub")).where("lo < hi").select("token", "hub")
+            listed, hub = listed.join(open_tokens.select("token"), "token", "left_semi"), open_tokens
         if turn < rounds:
-            pairs = _candidates(listed, listed.where("key = hub" if turn == 0 else "key = last"), t, "l.comp <> r.comp")
+            pairs = _candidates(listed, listed.join(hub, "token").where("key = hub"), t, "l.comp <> r.comp")
         else:
             pairs = _candidates(*_banded(listed, t), t, "(l.n < r.n or l.n = r.n and l.key < r.key) and l.comp <> r.comp")
         if tried:
