@@ -49,6 +49,31 @@ def test_toxicity(spark, docs, labels):
     assert out.score.between(0, 1).all()
     assert ((out.score >= 0.7) == (out.predicted == 1)).all()
     assert held.predicted[held.toxic == 0].mean() < 0.03
+    marked = held.predicted == 1
+    assert marked[held.toxic == 1].mean() >= 0.5 and held.toxic[marked].mean() >= 0.7
+
+
+def test_labels_without_documents_take_no_place(spark):
+    texts = [(i, f"{'gubbish' if i % 2 else 'flowers'} here and number {i} ends so w{i} x{i * 7}.") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.range(1000, 200_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic").union(spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    model = toxicity.learn(docs, marks, rows=60)
+    out = toxicity.score(docs, model).toPandas()
+    assert (out.predicted == out.doc_id % 2).all()
+    rare = marks.selectExpr("doc_id", "if(doc_id = 7, 'rare', if(toxic = 1, 'a', 'b')) as domain")
+    post = mixing.posteriors(docs, rare, ["a", "b", "rare"]).toPandas().set_index("doc_id")
+    assert post.p2.idxmax() == 7  # one document of a domain among 199,200 labels is learned from
+    assert (post.p0 > post.p1)[post.index % 2 == 1].drop(7).all() and (post.p1 > post.p0)[post.index % 2 == 0].all()
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rows = [(i, "en", f"the quiet river number {i} runs along the old mill") for i in range(40)]
+    rows += [(100 + i, "xx", f"zug kvar {i} mluk strev " * 5000) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.learn(docs, rows=20)
+    assert model.labels == ["en", "xx"]
+    out = language_id.identify(docs, model).toPandas()
+    assert (out.lang_pred == ["en"] * 40 + ["xx"] * 6).all()
 
 
 def test_toxic_spans_and_edges(spark, docs, labels):
@@ -66,6 +91,26 @@ def test_toxic_spans_and_edges(spark, docs, labels):
     assert toxicity.score(own.limit(0), model).count() == 0
 
 
+def test_posteriors_are_those_of_naive_bayes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{rng.integers(0, 12) + 6 * (i % 2)}" for _ in range(rng.integers(1, 9)))) for i in range(60)]
+    marks = [(i, "ab"[i % 2]) for i in range(40)]
+    got = mixing.posteriors(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, domain string"), ["a", "b"]).toPandas().set_index("doc_id")
+    sets = {i: set(t.split()) for i, t in rows}
+    for i, own in sets.items():
+        logit = []
+        for k in (0, 1):
+            inside = [sets[j] for j in range(40) if j % 2 == k]
+            value = np.log(21 / 42)
+            for w in own:
+                n = [sum(w in sets[j] for j in range(40) if j % 2 == c) for c in (0, 1)]
+                if sum(n):
+                    share, overall = (n[k] + 0.5) / (len(inside) + 1), (sum(n) + 0.5) / 41
+                    value += np.clip(np.log(share / overall), -3, 3)
+            logit.append(value)
+        assert abs(got.p0[i] - 1 / (1 + np.exp(logit[1] - logit[0]))) < 1e-9
+
+
 def fit(n, p, goal, rounds):
     r = np.ones(len(n))
     for _ in range(rounds):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lagframe.llm import queries, stages
+from lagframe.llm import mixing, queries, stages, toxicity
 
 from ..compare import DATA, database, rows
 from .test_joins_and_dedup import components, removed
@@ -21,7 +21,11 @@ def test_stages(spark):
     extra = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang", "source", "n_chars").limit(1)
     docs = docs.union(extra)
     toxic = stages.drop_toxic(spark, docs, DATA)
-    assert toxic.columns == docs.columns and 150 < toxic.count() <= docs.count()
+    model = toxicity.learn(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    bad = {r.doc_id for r in toxicity.score(docs, model).where("score >= 0.7").collect()}
+    every = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+    assert toxic.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in toxic.collect()) == [r for r in every if r[0] not in {str(i) for i in bad}]
     near = stages.drop_near_duplicates(spark, docs, DATA)
     comps = components([(r.doc_id, r.text) for r in docs.collect()], 5, "0.8")
     kept = {r.doc_id for r in near.collect()}
@@ -34,7 +38,10 @@ def test_stages(spark):
         else:
             assert cut[i].text == (rest if n else before[i]) and cut[i].n_chars == len(cut[i].text)
     mixed = stages.mix_to_weights(spark, docs, DATA)
-    assert mixed.columns == docs.columns and mixed.count() > 100
+    rated = mixing.mix(docs, mixing.quality_domains(spark.read.parquet(f"{DATA}/labels.parquet")), stages.WEIGHTS, stages.BUDGET)
+    thinned = {str(r.doc_id) for r in rated.where("copies = 0").collect()}
+    assert mixed.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in mixed.collect()) == [r for r in every if r[0] not in thinned]
 
 
 def test_pipeline(spark):

@@ -71,6 +71,35 @@ def test_probes_rise_in_score():
     assert seq[0] == [] and cost == sorted(cost) and len({tuple(sorted(s)) for s in seq}) == 50
 
 
+def test_the_compared_share_falls_as_vectors_grow():
+    rng = np.random.default_rng(9)
+    shares = []
+    for n in (500, 2000, 8000):
+        u = rng.standard_normal((n, 64))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        projections, probes = ann.layout(n)
+        planes, shift = ann.hash_family(64, projections)
+        place = ((u @ planes + shift) / ann.WIDTH).reshape(n, ann.TABLES, projections)
+        cells = np.floor(place).astype(np.int64)
+        keys, met, found = ann._keys(cells), 0, 0
+        for q in range(20):
+            near = np.zeros(n, bool)
+            for t in range(ann.TABLES):
+                rest = place[q, t] - cells[q, t]
+                steps = ann.probe_sequence(rest, 1 - rest, probes)
+                seen = np.repeat(cells[q, t][None], len(steps), axis=0)
+                for i, step in enumerate(steps):
+                    for k, d in step:
+                        seen[i, k] += d
+                near |= np.isin(keys[:, t], ann._keys(seen))
+            score = u @ u[q]
+            score[q] = -9
+            met, found = met + near.mean() / 20, found + near[np.argsort(-score)[:5]].mean() / 20
+        assert found >= 0.9
+        shares.append(met)
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.7
+
+
 def test_preference_format(spark):
     t = lambda *xs: [{"turn": i, "role": r, "text": x} for i, (r, x) in enumerate(xs)]
     kind = "array<struct<turn: bigint, role: string, text: string>>"
@@ -90,6 +119,25 @@ def test_preference_format(spark):
     assert (got[4].prompt_turns, got[4].chosen, got[4].rejected) == (1, "<|assistant|>\ny\n", "")
 
 
+def test_null_turns_and_long_differences(spark):
+    kind = "array<struct<turn: bigint, role: string, text: string>>"
+    turns = lambda *xs: [x and {"turn": i, "role": x[0], "text": x[1]} for i, x in enumerate(xs)]
+    many = [("assistant" if i % 2 else "user", f"t{i}") for i in range(3000)]
+    rows = [
+        (1, turns(("user", "q"), ("assistant", None)), turns(("user", "q"), ("assistant", "bad"))),
+        (2, turns(("user", None), ("assistant", "a")), turns(("user", None), ("assistant", "b"))),
+        (3, turns(None, ("user", "q")), turns(("user", "q"))),
+        (4, turns(*many), turns(*many[:2], ("user", "other"), *many[3:])),
+    ]
+    got = {r.pair_id: r for r in chat.preference_format(spark.createDataFrame(rows, f"pair_id long, chosen {kind}, rejected {kind}")).collect()}
+    assert (got[1].prompt_turns, got[1].chosen, got[1].rejected) == (1, "<|assistant|>\n\n", "<|assistant|>\nbad\n")
+    assert [(s.start, s.end) for s in got[1].chosen_mask] == [(14, 14)]
+    assert got[2].prompt_turns == 1 and got[2].prompt == "<|user|>\n\n"
+    assert got[3].prompt_turns == 1 and got[3].chosen == got[3].rejected == ""
+    assert got[4].prompt_turns == 2
+    assert [got[4].chosen[s.start : s.end] for s in got[4].chosen_mask] == [x for r, x in many[2:] if r == "assistant"]
+
+
 def test_stale_replies(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (1, 4, "user", "bye"), (1, 3, "assistant", "a2"), (2, 0, "user", "q"), (2, 1, "assistant", None), (3, 0, "user", "q"), (None, 0, "assistant", "z"), (4, 0, None, "q"), (4, 1, "assistant", "x")]
     out = {r.pair_id: r for r in chat.preference_format(chat.stale_reply_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
