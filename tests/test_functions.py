@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lagframe.functions import dates, flags, text
-from lagframe.operators import dedupe, distribution, filters, joins, reshape, rules, summary
+from lagframe.operators import dedupe, distribution, filters, joins, model, reshape, rules, summary
 
 D = dt.date
 
@@ -47,6 +48,19 @@ def test_buckets(spark):
     assert column(spark, ["24701343", "1", None], "string", lambda c: flags.in_set(c, flags.MEGA_JOURNALS)) == [True, False, False]
 
 
+def test_seasonal_regression_is_that_of_reweighted_least_squares(spark):
+    df = spark.range(3000).selectExpr("cast(pmod(xxhash64(id), 200) + 1 as int) as delay", "date_add(date'2016-01-01', cast(pmod(xxhash64(id, 3), 2000) as int)) as day")
+    got = {r.term: r.coefficient for r in model.seasonal_coefficients(df, "delay", "day", [2016.0, 2019.0]).collect()}
+    own, names = model.seasonal_features(df, "day", [2016.0, 2019.0])
+    x = own.select("delay", *names).toPandas()
+    y, a = x["delay"].to_numpy(float), np.column_stack([np.ones(len(x)), x[names].to_numpy()])
+    w = np.linalg.lstsq(a, np.log(y), rcond=None)[0]
+    for _ in range(50):  # gamma with log link: all weights are one
+        mu = np.exp(a @ w)
+        w = np.linalg.lstsq(a, a @ w + (y - mu) / mu, rcond=None)[0]
+    assert np.allclose([got["intercept"], *(got[n] for n in names)], w, atol=1e-3)
+
+
 def test_half_even(spark):
     assert column(spark, [2.5, 3.5], "double", flags.half_even) == [2.0, 4.0]
 
