@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 def parse_partial_date(text: Column) -> Column:
     """``2020``, ``2020-03`` or ``2020-03-04`` as a date, missing parts as 1; anything else is null."""
-    dashes = F.length(text) - F.length(F.replace(text, F.lit("-"), F.lit("")))
-    read = lambda form: F.try_to_timestamp(text, F.lit(form)).cast("date")
-    return F.when(dashes == 2, read("yyyy-M-d")).when(dashes == 1, read("yyyy-M")).when(dashes == 0, read("yyyy"))
+    return F.when(text.rlike("^[0-9]{4}(-[0-9]{1,2}){0,2}$"), text.try_cast("date"))
 
 
 def parse_us_timestamp(text: Column) -> Column:
