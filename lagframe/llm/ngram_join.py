@@ -187,12 +187,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()  # rows of one id can have the same set
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", rounds: int = 1, hashes: bool = False) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", rounds: int = 1, hashes: bool = False, links: bool = False) -> DataFrame:
     """Link documents whose sets of distinct ``k``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
     Returns one row per row of ``docs`` that has an id: ``doc_id``, ``n_shingles`` (set size), ``component_id`` (smallest
     id that links lead to, itself included), ``class_id`` (smallest id with the same set; own id for an empty set), and
-    with ``hashes`` ``text_hash`` (xxhash64 of the text), which tells the rows of one id apart.
+    with ``hashes`` ``text_hash`` (xxhash64 of the text), which tells the rows of one id apart, and with ``links`` ``n_links``,
+    how many other rows with an id the row is linked with. Counting links compares all pairs of classes and leaves step 4
+    out, so a group of n near copies costs up to n * n / 2 comparisons; components alone don't need that.
 
     Words are compared with A-Z lower-cased. A text of fewer than ``k`` words is one shingle; null or wordless texts are
     empty and linked with nothing. Rows with a null id are left out; a repeated row is returned as often as it occurs.
@@ -212,7 +214,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
     t = Fraction(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     table = store(_prefixes(docs.withColumn("text_hash", F.xxhash64("text")) if hashes else docs, k, t, frequency_levels(docs, k)))
-    classes = store(table.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep")))
+    classes = store(table.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep"), F.count("*").alias("members")))
     lone = _lone_fronts(docs, k)
     reps = table.join(classes.select(F.col("digest").alias("d"), "rep"), F.expr("digest = d and doc_id = rep")).dropDuplicates(["digest", "doc_id"])
     open_reps = reps.join(lone, "key", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).withColumn("more", F.col("length") - F.col("lone")).where("more > 0")
@@ -224,7 +226,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
     drop(listed)
     # a text comes before its copies, so the class with the smallest id is the likeliest to be like the others
     hub = lists.where("first").groupBy("token").agg(F.min("key").alias("hub"))
-    links = comps = None
+    rounds = 0 if links else rounds
+    linked = comps = None
     tried: list[DataFrame] = []
     for turn in range(rounds + 1):
         listed = lists.withColumn("comp", F.col("key"))
@@ -248,14 +251,22 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "0.8", roun
         sets = store_filtered(_sets(docs.join(ends.where("sets > 0"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), k))
         found = store(_verified(pairs, sets, t))
         drop(ends, sets)
-        links = found if links is None else store(links.union(found))
-        comps = connected_components(links)
+        linked = found if linked is None else store(linked.union(found))
+        comps = connected_components(linked)
     drop(lists, *tried)
     if comps is None:
         comps = classes.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
     least = comps.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     comps = comps.join(least, "component").select(F.col("node").alias("key"), "least")
-    named = classes.join(comps, "key", "left").select(F.col("digest").alias("d"), F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"))
-    extra = ["text_hash"] * hashes
-    out = table.select("doc_id", "n", "digest", *extra).join(named, F.expr("digest = d"), "left")
+    named = classes.join(comps, "key", "left")
+    if links:
+        ends = classes.select("key", (F.col("members") - 1).alias("n"))
+        if linked is not None:
+            both = linked.select("a", "b").union(linked.select("b", "a")).toDF("key", "other")
+            ends = ends.union(both.join(classes.select(F.col("key").alias("other"), F.col("members").alias("n")), "other").select("key", "n"))
+        named = named.join(ends.groupBy("key").agg(F.sum("n").alias("n_links")), "key")
+    count = ["n_links"] * links
+    named = named.select(F.col("digest").alias("d"), F.col("rep").alias("class_id"), F.coalesce("least", "rep").alias("component_id"), *count)
+    extra = [*["text_hash"] * hashes, *[F.coalesce(c, F.lit(0)).alias(c) for c in count]]
+    out = table.select("doc_id", "n", "digest", *["text_hash"] * hashes).join(named, F.expr("digest = d"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), *extra)

@@ -27,12 +27,18 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "x", 1, "y", 2) for i, t in docs], SCHEMA)
 
 
+def shingles(text, k):
+    w = words(text, True)
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def degrees(docs, k, t):
+    sets = {i: shingles(text, k) for i, text in docs if i is not None}
+    return {i: sum(j != i and bool(x & y) and len(x & y) >= Fraction(t) * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+
+
 def components(docs, k, t):
-    sets = {}
-    for i, text in docs:
-        if i is not None:
-            w = words(text, True)
-            sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    sets = {i: shingles(text, k) for i, text in docs if i is not None}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -61,13 +67,18 @@ def test_join(spark, k, t):
         docs.append((i, " ".join(w)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(frame(spark, docs), k, t).collect()}
     assert got == components(docs, k, t)
+    counted = ngram_jaccard_join(frame(spark, docs), k, t, links=True).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in counted} == got
+    assert {r.doc_id: r.n_links for r in counted} == degrees(docs, k, t)
 
 
 def test_join_of_repeated_rows_and_nothing(spark):
     docs = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     got = ngram_jaccard_join(frame(spark, docs), 3, "0.9").collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1)]
+    assert [r.n_links for r in ngram_jaccard_join(frame(spark, docs), 3, "0.9", links=True).collect()] == [2, 2, 2]
     assert ngram_jaccard_join(frame(spark, []), 3, "0.9").count() == 0
+    assert ngram_jaccard_join(frame(spark, []), 3, "0.9", links=True).count() == 0
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
