@@ -14,7 +14,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 500, 16384
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> crf.Model | None:
-    """Fit on at most ``rows`` labelled texts a language, chosen by a hash of the id; texts over ``chars`` characters are
+    """Fit on about ``rows`` labelled texts a language (all, of one with fewer), chosen by a hash of the id; texts over ``chars`` characters are
     learned from in pieces of so many in all, and null ids teach nothing.
 
     Every word of a text bears the text's language. A third of the training texts end in words of another text, so that

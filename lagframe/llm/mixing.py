@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .sample import stratified_ids
 from .scratch import drop, store
 
-#: Labelled rows of a domain that the classifier learns from, at most, chosen by a hash of the id; words that it keeps.
+#: Labelled rows of a domain that the classifier learns from, about, chosen by a hash of the id; words that it keeps.
 SAMPLE_ROWS, VOCABULARY = 5_000, 2048
 #: A word's log-odds are cut to this, so that no word decides alone; smoothing counts.
 LIMIT, SMOOTH = 3.0, 0.5
@@ -35,7 +35,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     """``doc_id``, ``text_hash``, ``n_tokens`` (words) and one column ``p0``, ``p1``, ... for the probability of each domain.
 
     A naive Bayes classifier over distinct words: trained on ``labelled(doc_id, domain)``, keeping the words that tell most.
-    At most ``SAMPLE_ROWS`` labelled documents of each domain are learned from; the prior counts all of them. Labels without
+    About ``SAMPLE_ROWS`` labelled documents of each domain, or all it has, are learned from; the prior counts all of them. Labels without
     a document teach nothing. Without labelled documents all domains are equally likely.
     """
     size = len(domains)

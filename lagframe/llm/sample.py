@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import store
@@ -14,18 +14,18 @@ PLACES = 4
 
 
 def stratified_ids(rows: DataFrame, label: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """At most ``n`` ids of each label of ``rows(doc_id, label)``, chosen by a hash of the id, and the number of ids by label.
+    """About ``n`` ids of each label of ``rows(doc_id, label)``, and the number of ids by label.
 
-    Repeated rows count once; rows without id or label are left out. Hashes are uniform, so a threshold passes about
-    twice the wanted share of a label's ids, and only those are ranked: no task gets all ids of a frequent label.
+    A label with ``n`` ids or fewer gives all of them. Of a more frequent one those go in whose hash lies under the label's
+    share, so their number is ``n`` give or take a few times its square root. Nothing is ranked, so no task gets a label's
+    ids. Repeated rows count once; rows without id or label are left out.
     """
     rows = store(rows.select("doc_id", label).where(f"doc_id is not null and {label} is not null").distinct())
     counts = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(LABELS)
-    share = counts.select(F.col(label).alias("_label"), (F.lit(2.0 * n + 100) / F.col("n")).alias("_share"))
-    few = rows.join(F.broadcast(share), F.col(label) == F.col("_label")).withColumn("_at", F.xxhash64("doc_id"))
-    few = few.where(f"_share >= 1 or _at < least(_share, 1.0D) * {2.0**64} - {2.0**63}")
-    nth = F.row_number().over(Window.partitionBy(label).orderBy("_at", "doc_id"))
-    return few.withColumn("_nth", nth).where(F.col("_nth") <= n).select("doc_id", label), counts
+    share = counts.select(F.col(label).alias("_label"), (F.lit(float(n)) / F.col("n")).alias("_share"))
+    some = rows.join(F.broadcast(share), F.col(label) == F.col("_label")).withColumn("_at", F.xxhash64("doc_id"))
+    some = some.where(f"_share >= 1 or _at < least(_share, 1.0D) * {2.0**64} - {2.0**63}")
+    return some.select("doc_id", label), counts
 
 
 def piece(text: str, chars: int) -> Column:
@@ -41,5 +41,5 @@ def labelled_texts(docs: DataFrame, picked: DataFrame, label: str, chars: int) -
     Where ``docs`` has the label itself, it must be the picked one.
     """
     on = [c for c in ("doc_id", label) if c in docs.columns]
-    own = docs.where("text <> ''").join(F.broadcast(picked), on)  # at most n ids a label
+    own = docs.where("text <> ''").join(F.broadcast(picked), on)  # about n ids a label
     return sorted(tuple(r) for r in own.groupBy("doc_id", label).agg(F.min(piece("text", chars)).alias("text")).collect())

@@ -74,7 +74,7 @@ def _matches(word: bytes, terms: set[bytes]) -> bool:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """Fit on at most ``rows`` labelled texts a label, chosen by a hash of the id among the documents that have a label.
+    """Fit on about ``rows`` labelled texts a label (all, of a label with fewer), chosen by a hash of the id among the documents that have a label.
 
     ``labels`` has ``doc_id`` and ``toxic``; labels without a document, null texts and null ids teach nothing. Texts over
     ``chars`` characters are learned from in pieces of so many in all. Tokens are labelled by :func:`offending_terms`, in
