@@ -135,3 +135,14 @@ def test_empty_tables(spark):
     assert summary.monthly_delays(filters.analysis_window(filters.date_order(df))).count() == 0
     assert dedupe.keep_first(df, ["title"], ["received"]).count() == 0
     assert distribution.date_histogram(df, "article_date").count() == 0
+
+
+def test_quartiles_of_heavy_tails_ties_and_few_values(spark):
+    columns = [F.exp(F.randn(3) * 4).alias("heavy"), (F.rand(4) * 10).cast("int").alias("tied"), F.lit(5.0).alias("one"), F.when(F.col("id") < 4, F.col("id")).alias("few"), F.lit(None).cast("double").alias("none")]
+    df = spark.range(30000).select(columns).cache()
+    got = {r.variable: [r.q1, r.median, r.q3] for r in summary.numeric_profile(df, df.columns).collect()}
+    values = df.toPandas()
+    df.unpersist()
+    assert sorted(got) == ["few", "heavy", "one", "tied"]
+    for name, quartiles in got.items():
+        assert np.allclose(quartiles, np.quantile(values[name].dropna().astype(float), [0.25, 0.5, 0.75]), rtol=1e-12, atol=0)
