@@ -9,24 +9,34 @@ from pyspark.sql import functions as F
 
 from . import crf, sample
 
-#: Bounds of the labelled sample that the driver learns from: rows a language, characters a text (of longer ones, pieces).
-SAMPLE_ROWS, SAMPLE_CHARS = 500, 16384
+#: Bounds of the labelled sample that the driver learns from: rows a language, characters a text (of longer ones, pieces). Both are
+#: less for many languages, see :func:`lagframe.llm.sample.within`.
+SAMPLE_ROWS, SAMPLE_CHARS = 250, 4096
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> crf.Model | None:
     """Fit on about ``rows`` labelled texts a language (all, of one with fewer), chosen by a hash of the id; texts over ``chars`` characters are
-    learned from in pieces of so many in all, and null ids teach nothing.
+    learned from in pieces of so many in all, and null ids teach nothing. Every language is learned; for more than ten the sample
+    of each is smaller (:func:`~lagframe.llm.sample.within`).
 
     Every word of a text bears the text's language. A third of the training texts end in words of another text, so that
     the transitions know of switches. The lexicon has the words that one language accounts for at least nine times in ten.
     None without any labelled text.
     """
     docs = docs.where("lang is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    rows, chars = sample.within(docs.select("lang").distinct().count(), rows, chars)
     picked, _ = sample.stratified_ids(docs, "lang", rows)
     known = sample.labelled_texts(docs, picked, "lang", chars)
     labels = sorted({lang for _, lang, _ in known})
     if not labels:
         return None
+    texts, tags = switching(known, labels)
+    lexicon, entry = sure_words(texts, tags, len(labels))
+    return crf.train(texts, tags, labels, lexicon, entry)
+
+
+def switching(known: list[tuple], labels: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """Training texts and their words' labels, of ``(doc_id, lang, text)`` rows: every third text ends in words of another."""
     rng = np.random.default_rng(7)
     order = rng.permutation(len(known))
     texts, tags = [], []
@@ -40,18 +50,23 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -
             tag[len(tag) - len(tail) :] = labels.index(other[1])
         texts.append(b" ".join(own).decode())
         tags.append(tag)
-    counts = np.zeros((0, len(labels)))
+    return texts, tags
+
+
+def sure_words(texts: list[str], tags: list[np.ndarray], labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that one label accounts for at least nine times in ten, sorted, and that label."""
+    counts = np.zeros((0, labels))
     hashes = np.zeros(0, np.uint64)
-    for piece in crf.pieces(pa.array(texts, pa.string()), np.zeros(0, np.uint64), np.zeros(0, int)):
+    for piece in crf.pieces(pa.array(texts, pa.string()), np.zeros(0, np.uint64), np.zeros(0, int), bits=8):
         tag = np.concatenate([tags[d] for d in range(*piece.rows)])
-        own = np.zeros((len(piece.distinct), len(labels)))
+        own = np.zeros((len(piece.distinct), labels))
         np.add.at(own, (piece.inverse, tag), 1)
         merged, back = np.unique(np.concatenate([hashes, piece.hashes[piece.distinct]]), return_inverse=True)
-        total = np.zeros((len(merged), len(labels)))
+        total = np.zeros((len(merged), labels))
         np.add.at(total, back, np.concatenate([counts, own]))
         hashes, counts = merged, total
     sure = (counts.sum(axis=1) >= 5) & (counts.max(axis=1) >= 0.9 * counts.sum(axis=1))
-    return crf.train(texts, tags, labels, hashes[sure], counts[sure].argmax(axis=1))
+    return hashes[sure], counts[sure].argmax(axis=1)
 
 
 def identify(docs: DataFrame, model: crf.Model | None, runs: bool = False) -> DataFrame:
@@ -74,9 +89,9 @@ def identify(docs: DataFrame, model: crf.Model | None, runs: bool = False) -> Da
                 columns = [ids, pa.array(["und"] * len(ids)), pa.array([0.0] * len(ids))] + [pa.array([[]] * len(ids), kind)] * runs
                 yield pa.RecordBatch.from_arrays(columns, schema=_names(runs, kind))
                 continue
-            for piece in crf.pieces(text, m.lexicon, m.entry):
+            for piece in m.pieces(text):
                 i, j = piece.rows
-                marginal, _, _ = crf.forward_backward(piece, m)
+                marginal, _ = crf.forward_backward(piece, m)
                 letter = (piece.data >= 128) | ((piece.data >= 97) & (piece.data <= 122))
                 seen = np.concatenate([[0], np.cumsum(letter)])
                 has = seen[piece.ends] > seen[piece.starts]

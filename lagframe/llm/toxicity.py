@@ -15,10 +15,12 @@ from . import words as W
 from .language_id import fold
 
 #: Bounds of the labelled sample that the driver learns from: rows a label, characters a text (of longer ones, pieces).
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 16384
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 16384
 THRESHOLD = 0.7
 #: A term marks toxic words only if at least so many sampled texts hold it.
 LEAST_TEXTS = 5
+#: Texts with labelled words that the chain is fitted to, at most (and twice as many clean ones); ridge on the features' weights.
+CHAIN_TEXTS, RIDGE = 400, 0.1
 _STEMS, _EDGES = (4, 5, 6, 7, 8), b".,;:!?\"'()"
 
 
@@ -73,33 +75,44 @@ def _matches(word: bytes, terms: set[bytes]) -> bool:
     return not terms.isdisjoint(_terms(word.strip(_EDGES)))
 
 
+def tag_words(texts: list[str], toxic: list[int]) -> crf.Model:
+    """The tagger: a chain fitted to words that are labelled toxic where a toxic text holds an offending term.
+
+    The terms label the training words only. The chain sees affixes and trigrams, so forms that no training text holds are
+    tagged as far as they look like labelled ones.
+    """
+    none = np.zeros(0, np.uint64)
+    terms = offending_terms(texts, toxic)
+    tags = [np.array([int(t and _matches(w, terms)) for w in _lowered(text)], int) for text, t in zip(texts, toxic, strict=True)]
+    marked = [i for i, tag in enumerate(tags) if tag.any()][:CHAIN_TEXTS]
+    clean = [i for i, t in enumerate(toxic) if not t][: 2 * CHAIN_TEXTS]
+    own = sorted(marked + clean)
+    return crf.train([texts[i] for i in own], [tags[i] for i in own], [0, 1], none, none.astype(int), RIDGE)
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
     """Fit on about ``rows`` labelled texts a label (all, of a label with fewer), chosen by a hash of the id among the documents that have a label.
 
     ``labels`` has ``doc_id`` and ``toxic``; labels without a document, null texts and null ids teach nothing. Texts over
-    ``chars`` characters are learned from in pieces of so many in all. Tokens are labelled by :func:`offending_terms`, in
-    toxic texts only. None unless both labels occur.
+    ``chars`` characters are learned from in pieces of so many in all, near copies once. Words are labelled by :func:`tag_words`. None unless both labels
+    occur.
     """
     labels = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     docs = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     picked, _ = sample.stratified_ids(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic", rows)
-    known = sample.labelled_texts(docs, picked, "toxic", chars)
+    return fit(sample.labelled_texts(docs, picked, "toxic", chars))
+
+
+def fit(known: list[tuple]) -> Model | None:
+    """The model of ``(doc_id, toxic, text)`` rows."""
     if len({t for _, t, _ in known}) < 2:
         return None
-    order = np.random.default_rng(11).permutation(len(known))
-    texts, toxic = [known[i][2] for i in order], [known[i][1] for i in order]
-    terms = offending_terms(texts, toxic)
-    tags = [np.array([int(t and _matches(w, terms)) for w in _lowered(text)], int) for text, t in zip(texts, toxic, strict=True)]
-    none = np.zeros(0, np.uint64)
-    lexicon = none
-    for piece in crf.pieces(pa.array(texts, pa.string()), none, np.zeros(0, int)):
-        tag = np.concatenate([tags[d] for d in range(*piece.rows)])
-        lexicon = np.union1d(lexicon, piece.hashes[tag == 1])
-    tagger = crf.train(texts, tags, [0, 1], lexicon, np.zeros(len(lexicon), int), epochs=3, rate=0.5)
-    x, y = [], np.array(toxic, float)
-    for piece in crf.pieces(pa.array(texts, pa.string()), tagger.lexicon, tagger.entry):
-        x.append(_summary(crf.forward_backward(piece, tagger)[0][:, 1], piece.ranges))
-    return Model(tagger, _fit_curve(np.concatenate(x), y))
+    known = [known[i] for i in np.random.default_rng(11).permutation(len(known))]
+    kept = _unlike([_lowered(t) for _, _, t in known])
+    texts, toxic = [known[i][2] for i in kept], [known[i][1] for i in kept]
+    tagger = tag_words(texts, toxic)
+    x = [_summary(crf.forward_backward(piece, tagger)[0][:, 1], piece.ranges) for piece in tagger.pieces(pa.array(texts, pa.string()))]
+    return Model(tagger, _fit_curve(np.concatenate(x), np.array(toxic, float)))
 
 
 def _lowered(text: str) -> list[bytes]:
@@ -148,7 +161,7 @@ def score(docs: DataFrame, model: Model | None, spans: bool = False, hashes: boo
             if m is None:
                 yield pa.RecordBatch.from_arrays([ids, pa.array([0.0] * len(ids)), pa.array([0] * len(ids), pa.int32())] + [pa.array([[]] * len(ids), kind)] * spans + ([batch.column("text_hash")] if hashes else []), schema=fields)
                 continue
-            for piece in crf.pieces(batch.column("text"), m.tagger.lexicon, m.tagger.entry):
+            for piece in m.tagger.pieces(batch.column("text")):
                 i, j = piece.rows
                 p = crf.forward_backward(piece, m.tagger)[0][:, 1]
                 s = 1 / (1 + np.exp(-np.clip(_summary(p, piece.ranges) @ m.curve, -30, 30)))
