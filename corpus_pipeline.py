@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lagframe.llm import stages
-from lagframe.llm.scratch import store
+from lagframe.llm.scratch import drop, store
 
 STAGES = stages.STAGES
 
@@ -15,7 +15,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir))
+        drop(before)  # nothing reads the stage before any more
+        before = docs
     return docs
