@@ -28,10 +28,33 @@ def year_lookup(df: DataFrame, dim: DataFrame, key: str, year: Column, last_year
     return asked.join(wanted, (F.col(key) == F.col("_k")) & (F.col("_year") == F.col("_y")), "left").drop("_k", "_y", "_year")
 
 
-def join_on_nullable(df: DataFrame, other: DataFrame, left_key: str, right_key: str, null_match: bool = False) -> DataFrame:
-    """Many-to-many left join; with ``null_match`` null keys match null keys."""
-    condition = df[left_key].eqNullSafe(other[right_key]) if null_match else df[left_key] == other[right_key]
-    return df.join(other, condition, "left")
+#: Parts over which rows with a null key are dealt in a join.
+NULL_PARTS = 64
+
+
+def join_on_nullable(df: DataFrame, other: DataFrame, left_key: str, right_key: str, null_match: bool = False, parts: int = NULL_PARTS) -> DataFrame:
+    """Many-to-many left join; with ``null_match`` null keys match null keys.
+
+    Null keys are no hot key: a row without one is dealt to one of ``parts`` by a hash of its columns, and with ``null_match`` the
+    other side's rows without one are in all of them. Both keys are of one type. A key that many rows have is split by Spark (adaptive skew join).
+    """
+    own, others = F.col("_key"), F.concat(F.lit("k"), F.col("_key").cast("string"))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if not f.dataType.simpleString().startswith("map")] or [F.lit(0)]
+    part = F.concat(F.lit("n"), F.pmod(F.xxhash64(*hashed), F.lit(parts)).cast("string"))
+    left = df.withColumn("_key", _normal(df, left_key)).withColumn("_l", F.when(own.isNull(), part).otherwise(others)).drop("_key")
+    right = other.withColumn("_key", _normal(other, right_key))
+    if null_match:
+        every = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.concat(F.lit("n"), i.cast("string")))
+        right = right.withColumn("_r", F.explode(F.when(own.isNull(), every).otherwise(F.array(others))))
+    else:
+        right = right.where(own.isNotNull()).withColumn("_r", others)
+    right = right.drop("_key")
+    return left.join(right, left["_l"] == right["_r"], "left").drop("_l", "_r")
+
+
+def _normal(df: DataFrame, key: str) -> Column:
+    """A key such that equal ones are equal as text."""
+    return F.col(key) + 0.0 if df.schema[key].dataType.typeName() in ("float", "double") else F.col(key)
 
 
 def with_totals(df: DataFrame, by: str, value: str, name: str) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagframe.functions.dates import floor_month
+from lagframe.sources.shared import stored
 
 from .joins import with_scalar
+from .quantiles import quantiles, with_ordered_bits
 
 DELAYS = ["acceptance_delay", "publication_delay"]
 #: Day limits of the threshold shares.
 LIMITS = [60, 180, 365]
-#: Shares of the quartiles, how far their brackets reach on either side, and the accuracy of the approximate quantiles there.
-QUARTILES, BRACKET, ACCURACY = (0.25, 0.5, 0.75), 0.0005, 10000
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -112,31 +113,13 @@ def logical_profile(df: DataFrame, flags: list[str]) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """``variable``, min, q1, mean, median, sd, q3, max, iqr for numeric columns; nulls are ignored, and a column without values
-    has no row.
-
-    Quartiles are exact for any number of distinct values: approximate ones, whose buffers are bounded, bracket each quartile,
-    and a second pass counts what lies below a bracket and ranks the values within it, about a thousandth of all. Of few values
-    a bracket has all.
-    """
+    has no row. Quartiles are exact for any number of distinct values, see :func:`~lagframe.operators.quantiles.quantiles`."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "variable", "x").where("x is not null")
-    near = [q for share in QUARTILES for q in (share - BRACKET, share + BRACKET)]
-    stats = F.struct(F.min("x").alias("min"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.max("x").alias("max"), F.count("*").alias("rows"))
-    whole = long.groupBy("variable").agg(stats.alias("s"), F.percentile_approx("x", near, ACCURACY).alias("at"))
-    few = F.col("s.rows") <= 4 / BRACKET
-    ends = lambda i: [F.when(few, F.col("s.min")).otherwise(F.col("at")[2 * i]).alias("lo"), F.when(few, F.col("s.max")).otherwise(F.col("at")[2 * i + 1]).alias("hi")]
-    sides = F.array(*[F.struct(F.lit(share).alias("share"), *ends(i)) for i, share in enumerate(QUARTILES)])
-    sides = whole.select(F.col("variable").alias("of"), "s", F.explode(sides).alias("side")).select("of", "s", "side.*")  # three rows a column
-    held = long.join(F.broadcast(sides), (F.col("variable") == F.col("of")) & (F.col("x") <= F.col("hi")))
-    held = held.groupBy("variable", "s", "share", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("v")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("variable", "s", "share").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1))
-    held = held.withColumn("first", F.coalesce(before, F.lit(0))).withColumn("place", F.col("share") * (F.col("s.rows") - 1))
-    there = lambda rank: F.max(F.when((rank >= F.col("first")) & (rank < F.col("first") + F.col("n")), F.col("v")))
-    found = held.groupBy("variable", "s", "share", "place").agg(there(F.floor("place")).alias("a"), there(F.ceil("place")).alias("b"))
-    between = (F.ceil("place") - F.col("place")) * F.col("a") + (F.col("place") - F.floor("place")) * F.col("b")
-    found = found.withColumn("q", F.when(F.floor("place") == F.ceil("place"), F.col("a")).otherwise(between))
-    q1, median, q3 = (F.max(F.when(F.col("share") == share, F.col("q"))) for share in QUARTILES)
-    out = found.groupBy("variable", "s").agg(q1.alias("q1"), median.alias("median"), q3.alias("q3"))
-    return out.select("variable", "s.min", "q1", "s.mean", "median", "s.sd", "q3", "s.max", (F.col("q3") - F.col("q1")).alias("iqr"))
+    long = stored(with_ordered_bits(long, "x"))
+    whole = long.groupBy("variable").agg(F.min("x").alias("min"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.max("x").alias("max"))
+    out = whole.join(quantiles(long, "variable", "x", QUARTILES), "variable")
+    q1, median, q3 = (F.col("q")[i] for i in range(3))
+    return out.select("variable", "min", q1.alias("q1"), "mean", median.alias("median"), "sd", q3.alias("q3"), "max", (q3 - q1).alias("iqr"))
 
 
 def latest_vs_pooled(wide: DataFrame, key: str, prefix: str, latest: str, digits: int = 3) -> DataFrame:

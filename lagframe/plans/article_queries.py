@@ -154,6 +154,18 @@ def article_sink(spark, sf_dir):
     return spark.read.parquet(path).groupBy("article_year").agg(F.count("*").alias("n"), F.sum("acceptance_delay").alias("days"))
 
 
+@query("SELECT year(article_date) AS article_year, count(*) AS n, CAST(sum(CASE WHEN year(article_date) % 2 = 0 THEN 2 ELSE 1 END * acceptance_delay) AS BIGINT) AS days FROM windowed GROUP BY 1", views=True)
+def article_sink_rerun(spark, sf_dir):
+    """Articles written by year, then even years written anew with twice the delay over what is there."""
+    path = _folder(spark)
+    df = windowed(spark, sf_dir)
+    writers.write_articles(df, path)
+    even = df.where(F.year("article_date") % 2 == 0).withColumn("acceptance_delay", F.col("acceptance_delay") * 2)
+    for _ in range(2):
+        writers.write_articles(even, path, replace=True)
+    return spark.read.parquet(path).groupBy("article_year").agg(F.count("*").alias("n"), F.sum("acceptance_delay").alias("days"))
+
+
 @query("+ c AS (SELECT journal, count(*) AS n FROM windowed GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY journal) AS VARCHAR) AS row, journal, CAST(n AS VARCHAR) AS n FROM c", views=True)
 def table_sink(spark, sf_dir):
     """A small result table written as CSV with row numbers and read again."""

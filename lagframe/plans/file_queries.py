@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lagframe.functions.dates import parse_partial_date
 from lagframe.sources import readers
 from lagframe.sources.shared import delete_at_end, shared_dir
-from lagframe.streaming.ingest import ingest_new
+from lagframe.streaming.ingest import ingest_new, set_aside
 
 from .facts import table
 from .queries import query
@@ -53,6 +53,41 @@ def xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doi", "title", "journal", parse_partial_date(F.col("history.received")).alias("received"), parse_partial_date(F.col("history.accepted")).alias("accepted"), "publication_types")
 
 
+def _mesh_articles(spark: SparkSession, sf_dir: str) -> str:
+    """Parts as articles whose subject headings have no, one or two qualifiers (and every seventh article none at all); the folder."""
+    term = lambda code, name, major=None: F.struct(code.alias("_UI"), (F.lit("N") if major is None else major).alias("_MajorTopicYN"), name.alias("_VALUE"))
+    key = F.col("p_partkey")
+    brand = F.struct(term(F.lit("D1"), F.col("p_brand"), F.when(key % 2 == 0, "Y").otherwise("N")).alias("DescriptorName"), F.array().cast("array<struct<_UI: string, _MajorTopicYN: string, _VALUE: string>>").alias("QualifierName"))
+    kind = term(F.concat(F.lit("D"), key % 50 + 2), F.col("p_type"))
+    marks = F.when(key % 3 == 0, F.array(term(F.lit("Q1"), F.lit("size")), term(F.lit("Q2"), F.lit("price"), F.lit("Y")))).when(key % 3 == 1, F.array(term(F.lit("Q1"), F.lit("size")))).otherwise(F.array().cast("array<struct<_UI: string, _MajorTopicYN: string, _VALUE: string>>"))
+    headings = F.when(key % 7 != 0, F.struct(F.array(brand, F.struct(kind.alias("DescriptorName"), marks.alias("QualifierName"))).alias("MeshHeading")))
+    cite = F.struct(key.cast("string").alias("PMID"), F.struct(F.col("p_name").alias("ArticleTitle")).alias("Article"), headings.alias("MeshHeadingList"))
+    path = _folder(spark)
+    table(spark, sf_dir, "part").select(cite.alias("MedlineCitation")).write.format("xml").option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(path)
+    return path
+
+
+@query(
+    """SELECT p_name AS title, CASE WHEN p_partkey % 7 <> 0 THEN 'D1:' || p_brand || '; D' || (p_partkey % 50 + 2) || ':' || p_type
+           || CASE p_partkey % 3 WHEN 0 THEN ' / Q1:size / Q2:price' WHEN 1 THEN ' / Q1:size' ELSE '' END END AS mesh_terms, count(*) AS n FROM part GROUP BY 1, 2"""
+)
+def xml_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_articles_xml(spark, _mesh_articles(spark, sf_dir)).groupBy("title", "mesh_terms").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH p AS (SELECT * FROM part WHERE p_partkey % 7 <> 0), h AS (
+           SELECT 0 AS heading, 'D1' AS descriptor_code, p_brand AS descriptor, NULL AS qualifier_code, NULL AS qualifier, p_partkey % 2 = 0 AS is_major FROM p
+           UNION ALL SELECT 1, 'D' || (p_partkey % 50 + 2), p_type, CASE WHEN p_partkey % 3 < 2 THEN 'Q1' END, CASE WHEN p_partkey % 3 < 2 THEN 'size' END, FALSE FROM p
+           UNION ALL SELECT 1, 'D' || (p_partkey % 50 + 2), p_type, 'Q2', 'price', TRUE FROM p WHERE p_partkey % 3 = 0)
+       SELECT *, count(*) AS n FROM h GROUP BY ALL"""
+)
+def mesh_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject headings in row form, counted by heading and qualifier."""
+    rows = readers.read_mesh_xml(spark, _mesh_articles(spark, sf_dir))
+    return rows.groupBy("heading", "descriptor_code", "descriptor", "qualifier_code", "qualifier", "is_major").agg(F.count("*").alias("n"))
+
+
 @query("SELECT o_orderkey || '' AS doi, 'Order ' || o_orderkey AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS received FROM orders")
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doi"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.struct(F.col("o_orderdate").cast("date").cast("string").alias("received")).alias("history"), F.pmod("o_custkey", F.lit(50)).alias("file"), _part().alias("part"))
@@ -121,6 +156,52 @@ def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@query(
+    """SELECT kind, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys, min(day) AS first_day FROM (
+           SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 17 = 0 THEN 'set apart' ELSE 'read' END AS kind,
+                  CASE WHEN kind = 'read' AND p_size <> 7 THEN DATE '2020-01-01' + CAST(p_size AS INTEGER) END AS day FROM part) GROUP BY 1""",
+    days=("first_day",),
+)
+def malformed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a bad date, a bad number or a field too many are set apart with their text, and the others are read by the schema."""
+    path = _folder(spark)
+    key = F.col("p_partkey")
+    day = F.when(key % 11 == 0, "2020-13-45").when(F.col("p_size") == 7, "NA").otherwise(F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size").cast("int")).cast("string"))
+    line = F.concat_ws("\t", key.cast("string"), day, F.when(key % 13 == 0, "many").otherwise(F.col("p_size").cast("string")), F.when(key % 17 == 0, "more"))
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(f"{path}/in")
+    checked = readers.read_checked(spark, f"{path}/in", "p_partkey long, day date, size int", header=False)
+    good = readers.set_malformed_apart(checked, f"{path}/bad").select(F.lit("read").alias("kind"), "p_partkey", "day")
+    apart = spark.read.parquet(f"{path}/bad").select(F.lit("set apart").alias("kind"), F.regexp_extract("malformed", "^([0-9]+)", 1).cast("long").alias("p_partkey"), F.lit(None).cast("date").alias("day"))
+    return good.union(apart).groupBy("kind").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"), F.min("day").alias("first_day"))
+
+
+def _copy(spark: SparkSession, source: str, target: str) -> None:
+    """A folder copied with its files' names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
+@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, 1::BIGINT AS broken FROM orders GROUP BY 1")
+def ingest_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in small lots, some of them landing under the same names in a second folder before and after they are taken in,
+    and one that is broken: each name counts once, and the broken file is reported."""
+    path = _folder(spark)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    take = lambda: ingest_new(spark, f"{path}/in/*", f"{path}/out", f"{path}/ledger", "o_orderkey long, o_orderstatus string", lot=1 << 16)
+    o.where("o_orderkey % 3 = 0").write.parquet(f"{path}/in/a")
+    _copy(spark, f"{path}/in/a", f"{path}/in/b")
+    take()
+    o.where("o_orderkey % 3 <> 0").write.parquet(f"{path}/in/c")
+    spark.range(1).selectExpr("'no table' as value").coalesce(1).write.text(f"{path}/in/d")
+    take()
+    _copy(spark, f"{path}/in/c", f"{path}/in/e")
+    take()
+    bad = set_aside(spark, f"{path}/in/*", f"{path}/ledger", pathGlobFilter="part-*").agg(F.count("*").alias("broken"))
+    out = spark.read.parquet(f"{path}/out").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    return out.crossJoin(F.broadcast(bad))  # one row
+
+
 @query("SELECT o_orderkey % 13 || '.xml.gz' AS name, count(*) AS n FROM orders WHERE o_orderkey % 13 NOT IN (2, 5) GROUP BY 1")
 def ledger_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "orders").select(F.concat(F.lit("/in/"), F.expr("o_orderkey % 13"), F.lit(".xml.gz")).alias("path"))

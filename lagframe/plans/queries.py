@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagframe.functions import dates, flags, text
-from lagframe.operators import dedupe, distribution, filters, joins, model, reshape, rules, summary
+from lagframe.operators import dedupe, distribution, filters, joins, model, reshape, rules, splines, summary
 
 from .facts import FACTS_SQL, TIE, articles, facts, table, windowed
 
@@ -641,3 +641,12 @@ def seasonal_regression(spark, sf_dir):
     return model.seasonal_coefficients(windowed(spark, sf_dir), "acceptance_delay", "article_date", [1996.0, 1998.0, 2000.0])
 
 
+@query()
+def seasonal_splines(spark, sf_dir):
+    """The smooth terms' summary: cyclic month and weekday, year."""
+    return splines.seasonal_summary(windowed(spark, sf_dir), "acceptance_delay", "article_date")
+
+
+@query()
+def seasonal_effects(spark, sf_dir):
+    return splines.seasonal_effects(windowed(spark, sf_dir), "acceptance_delay", "article_date")

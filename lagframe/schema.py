@@ -18,11 +18,14 @@ ARTICLE_COLUMNS = [part.split()[0] for part in ARTICLE_SCHEMA.split(",")]
 RAW_ARTICLE_SCHEMA = """
     title string, journal string, country string, doi string, issn_linking string, keywords string,
     publication_types string, pubdate string, article_date string,
-    history struct<received: string, accepted: string, pubmed: string, medline: string, entrez: string>
+    history struct<received: string, accepted: string, pubmed: string, medline: string, entrez: string>,
+    mesh_terms string
 """
 
 _DAY = "struct<Year: string, Month: string, Day: string>"
 
+_TERM = "struct<_UI: string, _MajorTopicYN: string, _VALUE: string>"
+
 #: The parts of a MEDLINE record that are read, after the public document type.
 MEDLINE_SCHEMA = f"""
     MedlineCitation struct<
@@ -34,7 +37,8 @@ MEDLINE_SCHEMA = f"""
             PublicationTypeList: struct<PublicationType: array<struct<_UI: string, _VALUE: string>>>
         >,
         MedlineJournalInfo: struct<Country: string, ISSNLinking: string>,
-        KeywordList: array<struct<Keyword: array<string>>>
+        KeywordList: array<struct<Keyword: array<string>>>,
+        MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: {_TERM}, QualifierName: array<{_TERM}>>>>
     >,
     PubmedData struct<
         History: struct<PubMedPubDate: array<struct<_PubStatus: string, Year: string, Month: string, Day: string>>>,

@@ -21,13 +21,41 @@ def _day(d: Column) -> Column:
     return F.concat_ws("-", d["Year"], month, F.when(month.isNotNull(), F.lpad(d["Day"], 2, "0")))
 
 
+def _coded(term: Column) -> Column:
+    """``code:name`` of a controlled term; a part that is missing is empty."""
+    return F.concat_ws(":", F.coalesce(term["_UI"], F.lit("")), F.coalesce(term["_VALUE"], F.lit("")))
+
+
+def mesh_text(headings: Column) -> Column:
+    """Subject headings as ``; ``-separated text: each is its descriptor, then its qualifiers behind `` / ``, all as ``code:name``."""
+    one = lambda h: F.concat_ws(" / ", _coded(h["DescriptorName"]), F.transform(h["QualifierName"], _coded))
+    return F.nullif(F.array_join(F.transform(headings, one), "; "), F.lit(""))
+
+
+def _read_medline(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    reader = spark.read.format("xml").option("rowTag", "PubmedArticle").option("recursiveFileLookup", True).option("pathGlobFilter", XML_FILES)
+    return reader.schema(MEDLINE_SCHEMA).load(path)
+
+
+def read_mesh_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Subject headings of MEDLINE files in row form: ``pmid``, ``heading`` (place in the article, from 0), ``descriptor_code``,
+    ``descriptor``, ``qualifier_code``, ``qualifier``, ``is_major``, ``file``; a row for each qualifier, and one with null for a heading without any.
+
+    ``is_major`` is the qualifier's mark, or the descriptor's where there is no qualifier.
+    """
+    headings = F.posexplode(F.col("MedlineCitation.MeshHeadingList.MeshHeading")).alias("heading", "h")
+    one = _read_medline(spark, path).select(F.col("MedlineCitation.PMID").alias("pmid"), headings, F.input_file_name().alias("file"))
+    each = one.select("pmid", "heading", F.col("h.DescriptorName").alias("d"), F.explode_outer("h.QualifierName").alias("q"), "file")
+    major = F.coalesce(F.when(F.col("q").isNotNull(), F.col("q._MajorTopicYN")).otherwise(F.col("d._MajorTopicYN")) == "Y", F.lit(False))
+    return each.select("pmid", "heading", F.col("d._UI").alias("descriptor_code"), F.col("d._VALUE").alias("descriptor"), F.col("q._UI").alias("qualifier_code"), F.col("q._VALUE").alias("qualifier"), major.alias("is_major"), "file")
+
+
 def read_articles_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """MEDLINE files, one row for each article, in the layout of :data:`~lagframe.schema.RAW_ARTICLE_SCHEMA` with its file.
 
     Folders are read recursively; gzip is read as it is, one task a file.
     """
-    reader = spark.read.format("xml").option("rowTag", "PubmedArticle").option("recursiveFileLookup", True).option("pathGlobFilter", XML_FILES)
-    df = reader.schema(MEDLINE_SCHEMA).load(path)
+    df = _read_medline(spark, path)
     cite, article, more = F.col("MedlineCitation"), F.col("MedlineCitation.Article"), F.col("PubmedData")
     dates = F.map_from_entries(F.filter(F.transform(more["History"]["PubMedPubDate"], lambda d: F.struct(d["_PubStatus"], _day(d))), lambda e: e["_PubStatus"].isin("received", "accepted", "pubmed", "medline", "entrez")))
     ids = F.filter(more["ArticleIdList"]["ArticleId"], lambda i: i["_IdType"] == "doi")
@@ -44,6 +72,7 @@ def read_articles_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.nullif(_day(article["Journal"]["JournalIssue"]["PubDate"]), F.lit("")).alias("pubdate"),
         F.nullif(_day(F.try_element_at(article["ArticleDate"], F.lit(1))), F.lit("")).alias("article_date"),
         history.alias("history"),
+        mesh_text(cite["MeshHeadingList"]["MeshHeading"]).alias("mesh_terms"),
         F.input_file_name().alias("file"),
     )
 
@@ -90,6 +119,36 @@ def read_processed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("header", True).option("sep", "\t").option("nullValue", "NA").schema(ARTICLE_SCHEMA).csv(path)
 
 
+#: Name of the column that has a line's text where the line doesn't fit the schema.
+MALFORMED = "malformed"
+
+
+def read_checked(spark: SparkSession, path: str | list[str], schema: str = ARTICLE_SCHEMA, sep: str = "\t", **options) -> DataFrame:
+    """Delimited text with a header by a schema, with ``malformed`` and ``file``: a line with too few or too many fields, or a
+    field that isn't of its type, has its whole text in ``malformed`` (and nulls where a field can't be read); of others it is null."""
+    reader = spark.read.options(**{"header": True, "sep": sep, "nullValue": "NA", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED, "columnPruning": False, **options})
+    df = reader.schema(f"{schema}, {MALFORMED} string").csv(path)
+    every = F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in df.columns if c != MALFORMED])
+    text = F.concat(MALFORMED, F.left(every, F.lit(0)))  # Spark checks only the columns that are asked for
+    return df.withColumns({MALFORMED: text, "file": F.col("_metadata.file_path")})
+
+
+def well_formed(checked: DataFrame) -> DataFrame:
+    """The lines that fit the schema, with its columns only."""
+    return checked.where(F.col(MALFORMED).isNull()).drop(MALFORMED, "file")
+
+
+def malformed_counts(checked: DataFrame) -> DataFrame:
+    """``file``, ``n``, ``malformed``: lines of each file, and those that don't fit."""
+    return checked.groupBy("file").agg(F.count("*").alias("n"), F.count(MALFORMED).alias("malformed"))
+
+
+def set_malformed_apart(checked: DataFrame, path: str) -> DataFrame:
+    """Write the lines that don't fit, with their files, to a quarantine table (Parquet, overwritten by a rerun); the others."""
+    checked.where(F.col(MALFORMED).isNotNull()).select("file", MALFORMED).write.mode("overwrite").parquet(path)
+    return well_formed(checked)
+
+
 def read_keyvalue_records(spark: SparkSession, path: str | list[str], keys: list[str]) -> DataFrame:
     """``Key: value`` lines in records set apart by lines that start with ``-``; a column for each key.
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -26,3 +27,12 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     """Have a folder deleted when the session ends."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for operators that read a few columns several times; it goes when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

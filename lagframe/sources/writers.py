@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from lagframe.schema import ARTICLE_COLUMNS
 
 
-def write_articles(df: DataFrame, path: str, date: str = "article_date") -> None:
-    """Parquet by year of the article, at a new path: an input is never overwritten."""
-    df.withColumn("article_year", F.year(date)).write.partitionBy("article_year").parquet(path)
+#: Rows of one file of articles, at most.
+FILE_ROWS = 5_000_000
+
+
+def write_articles(df: DataFrame, path: str, date: str = "article_date", replace: bool = False, rows: int = FILE_ROWS) -> None:
+    """Parquet by year of the article, at a new path: an input is never overwritten.
+
+    With ``replace`` the years that ``df`` has are overwritten at a path that may be there, and other years stay, so that a rerun
+    writes the same again. Rows are rebalanced by year before they are written: a year is in few files however many tasks there
+    were, and a large year in several, of ``rows`` rows at most.
+    """
+    out = df.withColumn("article_year", F.year(date)).hint("rebalance", "article_year").write.partitionBy("article_year").option("maxRecordsPerFile", rows)
+    if replace:
+        out = out.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.parquet(path)
 
 
 def write_processed(df: DataFrame, path: str) -> None:

@@ -42,7 +42,7 @@ def raw(spark):
         ("conference", "J", "c", "d4", "9999-9999", "a", types, "2020", "2020-06-01", h("2020-01-01", "2020-03-01")),
         ("letter", "J", "c", "d5", "1234-5678", "a", "D3:Letter", "2020", "2020-06-01", h("2020-01-01", "2020-03-01")),
     ]
-    return spark.createDataFrame(rows, RAW_ARTICLE_SCHEMA).withColumn("file", F.lit("f")).withColumn("ordinal", F.monotonically_increasing_id())
+    return spark.createDataFrame([(*r, None) for r in rows], RAW_ARTICLE_SCHEMA).withColumn("file", F.lit("f")).withColumn("ordinal", F.monotonically_increasing_id())
 
 
 def test_article_pipeline(spark):
