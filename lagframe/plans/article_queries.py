@@ -30,7 +30,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as raw records: dates as text (some without a day), coded types, ISSNs with hyphens."""
     l, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     df = l.join(o, F.expr("l_orderkey = o_orderkey")).join(p, F.expr("l_partkey = p_partkey"))
-    iso = lambda d: F.date_format(d, "yyyy-MM-dd")
+    iso = lambda d: (F.col(d) if isinstance(d, str) else d).cast("date").cast("string")
     article = iso(F.date_add(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")))
     none = F.lit(None).cast("string")
     return df.select(

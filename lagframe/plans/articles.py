@@ -62,8 +62,10 @@ def retraction_list(raw: DataFrame, retracted_since: str = "2015-01-01", publish
 
 def clean_articles(raw: DataFrame) -> DataFrame:
     """Parsed dates, delays, decoded types and keyword flags of raw records; what lacks a needed date or has them out of order goes."""
-    df = raw.select(*[c for c in raw.columns if c != "history"], "history.received", "history.accepted")
-    df = df.withColumns({c: dates.parse_partial_date(F.col(c)) for c in ("received", "accepted", "pubdate", "article_date")})
+    days = {"received": "history.received", "accepted": "history.accepted", "pubdate": "pubdate", "article_date": "article_date"}
+    parsed = F.struct(*[dates.parse_partial_date(F.col(c)).alias(name) for name, c in days.items()])
+    # a generator of one row, so that filters on the dates don't parse them again below it
+    df = raw.select(*[c for c in raw.columns if c not in ("history", *days)], F.inline(F.array(parsed)))
     df = df.withColumns({"keywords": text.semicolons_to_commas(F.col("keywords")), "publication_types": text.extract_types(F.col("publication_types")), "issn_linking": text.normal_issn(F.col("issn_linking"))})
     df = filters.date_order(filters.of_type(filters.require(df, "received", "accepted", "issn_linking"), "publication_types", "Journal Article"))
     df = df.withColumns({"acceptance_delay": dates.delay_days(F.col("received"), F.col("accepted")), "publication_delay": dates.publication_delay(F.col("accepted"), F.col("article_date"), F.col("pubdate"))})

@@ -6,7 +6,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lagframe.operators import joins
+from lagframe.operators import dedupe, joins
 from lagframe.plans.file_queries import _copy
 from lagframe.sources import readers, writers
 from lagframe.streaming.ingest import ingest_new, ledger, set_aside
@@ -116,3 +116,13 @@ def test_no_partition_has_all_null_keys(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_keep_first_of_a_hot_key(spark):
+    """One row a key leaves each task before the shuffle."""
+    df = spark.range(0, 10000, 1, 8).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), F.when(F.col("id") > 5, F.col("id")).alias("o"), F.col("id").alias("id"))
+    first = dedupe.keep_first(df, ["k"], ["o", "id"])
+    got = {r.k: r.id for r in first.collect()}
+    assert len(got) == 3333 + 2 and got["hot"] == 0 and got[None] == 2 and got["7"] == 7
+    plan = dedupe.keep_first(df, ["k"], ["o", "id"])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "SortAggregate" not in plan, plan
