@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import store
+from .scratch import drop, store
 
 #: Hash tables, and the bucket width (of unit vectors' standard normal projections).
 TABLES, WIDTH = 8, 3.0
@@ -164,7 +164,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int | No
     ``vec_id``, ``score``; a row is no neighbour of its own id. Ties go to the smaller id.
 
     Vectors that are null, zero, hold null or non-finite components, or have another length than most take no part; ids
-    that are null neither. Of rows that repeat an id and its vector one counts. Other columns are ignored. With fewer
+    that are null neither. Of rows that repeat an id one counts, the one whose vector is least as bytes (an id has one vector, in the
+    index and as a query). Other columns are ignored. With fewer
     candidates than ``k`` a query has them all: one that met fewer than ``k`` is compared with the whole index.
 
     Every row is indexed: equal vectors as one, with their ``k + 1`` smallest ids, which are all that can be among the
@@ -184,11 +185,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int | No
             raw = flat.reshape(-1, dim) + 0.0  # -0.0 becomes 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in raw], pa.binary())], ["id", "vector"])
 
-    packed = read(vectors).where(F.size("embedding") == dim).mapInArrow(pack, "id long, vector binary").distinct()
+    one = lambda df: read(df).where(F.size("embedding") == dim).mapInArrow(pack, "id long, vector binary").groupBy("id").agg(F.min("vector").alias("vector"))
+    packed = one(vectors)
     few = packed.withColumn("nth", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("nth") <= k + 1)
     members = few.groupBy("vector").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids"))
-    asked = read(queries).where(F.size("embedding") == dim).mapInArrow(pack, "id long, vector binary").distinct()
-    index, visits = _hashed(members.select("id", "vector"), dim, kind, projections, 0), _hashed(asked, dim, kind, projections, probes or most)
+    asked = one(queries)
+    index, visits = store(_hashed(members.select("id", "vector"), dim, kind, projections, 0)), store(_hashed(asked, dim, kind, projections, probes or most))
     sizes = index.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("i_salts"))
     asks = visits.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_salts"))
     buckets = sizes.join(asks, ["tab", "bucket"])
@@ -210,11 +212,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int | No
         return expanded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     found = store(ranked(met(index, visits, buckets)))
+    drop(index, visits)
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = store(asked.join(full, F.col("id") == F.col("query_id"), "left_anti"))
     if short.isEmpty():
         return found
     whole = lambda df: df.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "id", "vector")
-    one = members.agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("i_salts")).crossJoin(short.agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_salts")))
-    exact = ranked(met(whole(members), whole(short), F.broadcast(one.where("i_salts > 0").select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "i_salts", "q_salts"))))
+    only = members.agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("i_salts")).crossJoin(short.agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_salts")))
+    exact = ranked(met(whole(members), whole(short), F.broadcast(only.where("i_salts > 0").select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "i_salts", "q_salts"))))
     return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").union(exact)

@@ -33,6 +33,22 @@ def test_edge_cases_and_copies(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_one_id_with_two_vectors(spark):
+    """The vector that is least as bytes is the id's."""
+    rng = np.random.default_rng(8)
+    rows = [(i, list(map(float, rng.standard_normal(4)))) for i in range(40)] + [(7, [5.0, 1.0, 0.5, 0.0]), (3, [0.0, 0.0, 1.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id in (7, 11)"), 6, probes=400).toPandas().sort_values("rank")
+    own = {}
+    for i, v in rows:
+        own[i] = min(own.get(i, v), v, key=lambda x: np.array(x).tobytes())
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    for q in (7, 11):
+        want = sorted((-cos(own[q], w), i) for i, w in own.items() if i != q)[:6]
+        mine = got[got.query_id == q]
+        assert list(mine.vec_id) == [i for _, i in want] and np.allclose(mine.score, [-s for s, _ in want])
+
+
 def test_few_vectors_are_all_found(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((4, 128))
