@@ -74,7 +74,8 @@ def stale_reply_pairs(turns: DataFrame) -> DataFrame:
     """Preference pairs from plain conversations: the rejected side gives the assistant's last reply as its reply before that.
 
     One pair for each conversation in which the assistant speaks; a first reply has an empty one as its rejected form, and
-    turns after the last reply are left out of both sides.
+    turns after the last reply are left out of both sides. Null ids, roles, texts and repeated rows as in :func:`conversations_as_rows`; a null
+    ``turn`` comes first. Other columns are ignored.
     """
     rows = conversations_as_rows(turns)
     last = F.aggregate("turns", F.struct(F.lit(0).alias("i"), F.lit(0).alias("at")), lambda a, t: F.struct((a["i"] + 1).alias("i"), F.when(t["role"] == ASSISTANT, a["i"] + 1).otherwise(a["at"]).alias("at")), lambda a: a["at"])

@@ -348,6 +348,9 @@ def read_media(media: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Store, read back and describe every text: the digest columns, and ``feature``: pixel size and thumbnail hash."""
+    """Store, read back and describe every text: the digest columns, and ``feature``: pixel size and thumbnail hash.
+
+    A null text is empty; repeated rows and null ids are returned as they are; columns other than ``doc_id`` and ``text`` are ignored.
+    """
     read = read_media(store_media(docs))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat(F.col("width"), F.lit("x"), F.col("height"), F.lit(":"), F.col("thumbnail_hash")).alias("feature"))

@@ -38,7 +38,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that a document with a smaller id has go; a document without any word left goes too."""
+    """Passages of 50 words or more that a document with a smaller id has go; a document without any word left goes too.
+
+    Rows without an id, null texts and texts without such a passage stay as they are; repeated rows are cut alike, and each stays.
+    """
     cut = substring_dedup(docs).where("n_removed > 0").select("doc_id", "h", "kept").dropDuplicates(["doc_id", "h"])
     own = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).join(cut, ["doc_id", "h"], "left").where("kept is null or kept <> ''")
     text = F.coalesce("kept", "text")
@@ -55,7 +58,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' ids in sequences of 2048."""
+    """The kept documents' ids in sequences of 2048, a row a piece; nulls, empty texts, repeated rows and other columns as in
+    :func:`~lagframe.llm.packing.packing`."""
     return packing.packing(docs)
 
 

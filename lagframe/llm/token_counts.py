@@ -50,7 +50,10 @@ def context_limits(histogram: DataFrame) -> DataFrame:
 
 
 def at_limits(limits: DataFrame, contexts: list[int]) -> DataFrame:
-    """``context``, ``truncated_total``, ``docs_longer`` for any context limits, from the rows of :func:`context_limits`."""
+    """``context``, ``truncated_total``, ``docs_longer`` for any context limits, from the rows of :func:`context_limits`.
+
+    A limit that is asked for twice has one row; without rows of limits there are none. Columns other than those are ignored.
+    """
     asked = limits.sparkSession.createDataFrame([(c,) for c in contexts], "context long")
     below = F.when(F.col("n_tokens") <= F.col("context"), F.struct("n_tokens", "truncated_total", (F.col("docs_at_least") - F.col("n_docs")).alias("longer")))
     row = limits.crossJoin(F.broadcast(asked)).groupBy("context").agg(F.max(below).alias("b"), F.max("total_docs").alias("all"))
