@@ -80,7 +80,7 @@ def _windows(repeated: DataFrame, window: int) -> DataFrame:
 
 
 def _blocks(owners: DataFrame, window: int) -> DataFrame:
-    """The words of each wanted block: ``BLOCK`` window starts and all words that those windows cover."""
+    """Of each wanted block (``BLOCK`` window starts) the words that its windows from the first wanted start to the last cover."""
 
     def run(batches):
         for batch in batches:
@@ -89,13 +89,12 @@ def _blocks(owners: DataFrame, window: int) -> DataFrame:
                 starts, ends, ranges = W.word_spans(data, offsets)
                 text, place = W.joined(data, starts, ends)
                 for d in range(j - i):
-                    blocks = np.asarray(wanted[i + d].values)
-                    a = ranges[d] + blocks * BLOCK
-                    b = np.minimum(a + BLOCK + window - 1, ranges[d + 1])
+                    blocks, first, last = (np.asarray(x) for x in wanted[i + d].values.flatten())
+                    a, b = ranges[d] + first, ranges[d] + last + window
                     texts = [text[place[x] : place[y] - 1].tobytes() for x, y in zip(a, b, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), ids[i + d])), pa.array(np.full(len(blocks), keys[i + d])), pa.array(blocks), pa.array(texts, pa.binary()).cast(pa.string())], ["ref", "ref_h", "block", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), ids[i + d])), pa.array(np.full(len(blocks), keys[i + d])), pa.array(blocks), pa.array(first), pa.array(texts, pa.binary()).cast(pa.string())], ["ref", "ref_h", "block", "at", "words"])
 
-    return owners.select("doc_id", "h", "text", "wanted").mapInArrow(run, "ref long, ref_h long, block long, words string")
+    return owners.select("doc_id", "h", "text", "wanted").mapInArrow(run, "ref long, ref_h long, block long, at long, words string")
 
 
 def factor_spans(doc: tuple[np.ndarray, np.ndarray], refs: tuple[np.ndarray, np.ndarray], ranges: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -173,8 +172,9 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     1. Every window has an anchor, the least hash of the runs of words in it; only anchors that two ids have go on.
     2. The windows at those anchors are counted by hash: the smallest id with a window owns it.
     3. The owners' words around owned windows are the indexed reference blocks. Each document meets the blocks that own
-       its windows, each block once, and is parsed against them word for word. So a passage in a third of all documents
-       has one block, and a document's blocks are bounded by its own length.
+       its windows, each block once and cut to the span of the windows it owns for the document, and is parsed against
+       them word for word. So a passage in a third of all documents has one block, and a document whose neighbouring
+       windows all have different owners meets ``window`` words for each.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").withColumn("h", F.xxhash64("text"))
     survey = store(_survey(docs, window))
@@ -184,12 +184,15 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     repeated = store_filtered(docs.join(wanted.where("size(shared) > 0"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]))
     drop(wanted)
     windows = store(_windows(repeated, window))
-    owners = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "h", "pos")).alias("o"), F.max("doc_id").alias("last")).where("o.doc_id < last").select("hash", F.col("o.doc_id").alias("ref"), F.col("o.h").alias("ref_h"), F.expr(f"o.pos div {BLOCK}").alias("block"))
-    hits = store(windows.join(owners, "hash").where("ref < doc_id").select("doc_id", "h", "ref", "ref_h", "block").distinct())
+    owners = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "h", "pos")).alias("o"), F.max("doc_id").alias("last")).where("o.doc_id < last").select("hash", F.col("o.doc_id").alias("ref"), F.col("o.h").alias("ref_h"), F.col("o.pos").alias("start"))
+    met = windows.join(owners, "hash").where("ref < doc_id").groupBy("doc_id", "h", "ref", "ref_h", F.expr(f"start div {BLOCK}").alias("block"))
+    hits = store(met.agg(F.min("start").alias("first"), F.max("start").alias("last")))
     drop(windows)
-    needed = hits.select(F.col("ref").alias("doc_id"), F.col("ref_h").alias("h"), "block").distinct().groupBy("doc_id", "h").agg(F.collect_list("block").alias("wanted"))
+    whole = hits.groupBy(F.col("ref").alias("doc_id"), F.col("ref_h").alias("h"), "block").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    needed = whole.groupBy("doc_id", "h").agg(F.collect_list(F.struct("block", "first", "last")).alias("wanted"))
     blocks = _blocks(repeated.join(needed, ["doc_id", "h"]), window)
-    refs = hits.join(blocks, ["ref", "ref_h", "block"]).groupBy("doc_id", "h").agg(F.collect_list("words").alias("refs"))
+    own = F.array_join(F.slice(F.split("words", " "), (F.col("first") - F.col("at") + 1).cast("int"), (F.col("last") - F.col("first") + window).cast("int")), " ")
+    refs = hits.join(blocks, ["ref", "ref_h", "block"]).groupBy("doc_id", "h").agg(F.collect_list(own).alias("refs"))
     cut = _cut(repeated.join(refs, ["doc_id", "h"]), window)
     out = survey.select("doc_id", "h", "n_words", "sha").join(cut, ["doc_id", "h"], "left")
     return out.select("doc_id", "h", "n_words", F.coalesce("cut", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"), F.when(F.col("cut") > 0, F.col("kept")).alias("kept"), F.when(F.col("cut") > 0, F.col("spans")).alias("spans"))

@@ -5,10 +5,12 @@ import random
 import re
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from lagframe.llm import ngram_join
+from lagframe.llm import substring_dedup as dedup
 from lagframe.llm import words as W
 from lagframe.llm.components import connected_components
 from lagframe.llm.ngram_join import ngram_jaccard_join
@@ -182,3 +184,17 @@ def test_one_id_with_two_texts(spark):
         rows = [(5, first), (5, second), (5, second), (7, near("a")), (9, near("b")), (5, a.upper()), (3, near("c"))]
         out = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, "0.8").collect()
         assert sorted((r.doc_id, r.component_id, r.class_id) for r in out) == [(3, 3, 3), *[(5, 5, 5)] * 4, (7, 5, 7), (9, 5, 9)]
+
+
+def test_references_are_cut_to_owned_spans(spark, monkeypatch):
+    """A document of windows with as many owners meets ``window`` words for each, however long the owners are."""
+    window, rng = 10, np.random.default_rng(5)
+    filler = lambda k, n: " ".join(f"f{k}x{v}" for v in rng.integers(0, 1 << 30, n))
+    runs = [" ".join(f"r{k}w{i}" for i in range(window)) for k in range(20)]
+    docs = [(k, f"{filler(k, 300)} {run} {filler(k, 300)}") for k, run in enumerate(runs)] + [(99, " ".join(runs))]
+    met, cut = [], dedup._cut
+    monkeypatch.setattr(dedup, "_cut", lambda doc, window: met.append(doc) or cut(doc, window))
+    out = {r.doc_id: r for r in substring_dedup(frame(spark, docs), window).collect()}
+    assert out[99].n_removed == 20 * window and all(out[k].n_removed == 0 for k in range(20))
+    refs = [r for row in met[0].collect() if row.doc_id == 99 for r in row.refs]
+    assert sorted(refs) == sorted(runs)
