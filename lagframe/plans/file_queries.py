@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagframe.functions.dates import parse_partial_date
-from lagframe.sources import readers
+from lagframe.sources import landed, readers
 from lagframe.sources.shared import delete_at_end, shared_dir
 from lagframe.streaming.ingest import ingest_new, set_aside
 
@@ -111,20 +111,39 @@ def json_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "events").select("event_type", "event_id", "value", _part().alias("part")).groupBy("event_type", "part").agg(F.to_json(F.collect_list(F.struct("event_id", "value"))).alias("value")).drop("part")
     path = _folder(spark)
     parts.withColumn("value", F.when(F.col("event_type") == "error", F.concat("value", F.lit("]"))).otherwise(F.col("value"))).write.partitionBy("event_type").option("maxRecordsPerFile", 1).text(path)
-    files = readers.validate_json_files(spark, f"{path}/event_type=*").select(F.regexp_extract("file", "event_type=([^/]+)", 1).alias("event_type"), "valid")
+    files = landed.validate_json_files(spark, f"{path}/event_type=*").select(F.regexp_extract("file", "event_type=([^/]+)", 1).alias("event_type"), "valid")
     return files.groupBy("event_type").agg(F.bool_and("valid").alias("valid"))
 
 
+@query(
+    """SELECT file_no, n, coalesce(line, 0) AS line, coalesce("column", 0) AS "column", line IS NULL AS valid FROM (
+           SELECT p_partkey // 1000 AS file_no, count(*) AS n, CAST(min(place) FILTER (WHERE p_size = 7) AS BIGINT) AS line,
+                  CAST(19 + length(arg_min(p_partkey, p_partkey) FILTER (WHERE p_size = 7) || '') AS BIGINT) AS "column" FROM (
+               SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) + 1 AS place FROM part)
+           GROUP BY 1)"""
+)
+def json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of the first error in files of a thousand keys, one record a line: sizes of 7 are written as ``07``."""
+    key, path = F.col("p_partkey"), _folder(spark)
+    line = F.concat(F.lit('{"key": '), key, F.lit(', "size": '), F.when(F.col("p_size") == 7, "07").otherwise(F.col("p_size").cast("string")), F.lit("}"))
+    p = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 1000").alias("file_no")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l"))))["l"].alias("lines"))  # a thousand keys
+    text = F.concat(F.lit("[\n"), F.array_join("lines", ",\n"), F.lit("\n]"))
+    p.select("file_no", text.alias("value")).write.partitionBy("file_no").option("maxRecordsPerFile", 1).text(path)
+    found = landed.validate_json_files(spark, f"{path}/file_no=*").withColumn("file_no", F.regexp_extract("file", "file_no=([0-9]+)", 1).cast("long"))
+    sizes = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 1000").alias("file_no")).agg(F.count("*").alias("n"))
+    return found.join(sizes, "file_no").select("file_no", "n", F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("column", F.lit(0)).alias("column"), "valid")
+
+
 @query("SELECT count(*) AS files, count(*) FILTER (WHERE o_orderpriority NOT LIKE '1%') AS ok FROM (SELECT DISTINCT o_orderpriority FROM orders)")
 def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", _part().alias("part")).groupBy("o_orderpriority", "part").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), "\n").alias("keys"))
     o.select(F.concat("o_orderpriority", F.lit("\n"), "keys")).write.option("maxRecordsPerFile", 1).text(f"{path}/files")
-    landed = spark.read.format("binaryFile").load(f"{path}/files")
+    files = spark.read.format("binaryFile").load(f"{path}/files")
     name = F.regexp_extract("path", "([^/]+)$", 1)
     digest = F.when(F.decode("content", "UTF-8").startswith("1"), F.md5(F.lit("other"))).otherwise(F.md5("content"))
-    landed.select(F.concat(F.lit("MD5("), name, F.lit(")= "), digest).alias("value")).write.text(f"{path}/sums")
-    of = landed.select(name.alias("name"), F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("o_orderpriority"))
+    files.select(F.concat(F.lit("MD5("), name, F.lit(")= "), digest).alias("value")).write.text(f"{path}/sums")
+    of = files.select(name.alias("name"), F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("o_orderpriority"))
     checked = readers.verify_checksums(spark, f"{path}/files", f"{path}/sums").join(of, "name").groupBy("o_orderpriority").agg(F.bool_and("ok").alias("ok"))
     return checked.agg(F.count("*").alias("files"), F.count_if("ok").alias("ok"))
 

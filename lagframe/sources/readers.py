@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagframe.functions.text import decimal_comma
 from lagframe.schema import ARTICLE_SCHEMA, MEDLINE_SCHEMA, RAW_ARTICLE_SCHEMA
 
+from .landed import WHOLE, md5_of_files
+
 #: Files of an article corpus.
 XML_FILES = "*{.nxml,.xml,.xml.gz}"
 
@@ -164,25 +164,14 @@ def read_keyvalue_records(spark: SparkSession, path: str | list[str], keys: list
     return out.dropna(how="all")
 
 
-def validate_json_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file``, ``valid``: whether each file's whole text is one JSON value.
-
-    The parser stops behind the first value, so the text must also parse as an object's value and as an array's element:
-    no rest can close both.
-    """
-    whole = spark.read.option("wholetext", True).text(path)
-    forms = ["value", F.concat(F.lit('{"a":'), "value", F.lit("}")), F.concat(F.lit("["), "value", F.lit("]"))]
-    valid = reduce(lambda a, b: a & b, [F.try_parse_json(f).isNotNull() for f in forms])
-    return whole.select(F.input_file_name().alias("file"), valid.alias("valid"))
-
-
-def verify_checksums(spark: SparkSession, files: str, manifests: str) -> DataFrame:
+def verify_checksums(spark: SparkSession, files: str, manifests: str, whole: int = WHOLE) -> DataFrame:
     """``name``, ``expected``, ``actual``, ``ok`` of landed files against MD5 manifests.
 
     A manifest line is ``MD5(name)= digest`` or ``digest  name``, or a digest alone in a file called ``name.md5``.
+    Files of more than ``whole`` bytes are streamed.
     """
-    base = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    actual = spark.read.format("binaryFile").load(files).select(base(F.col("path")).alias("name"), F.md5("content").alias("actual"))
+    base = lambda c: F.regexp_extract(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), r"([^/]+)$", 1)
+    actual = md5_of_files(spark, files, whole).select(base(F.col("file")).alias("name"), F.col("md5").alias("actual"))
     stated = [F.nullif(F.regexp_extract("value", r, 1), F.lit("")) for r in (r"\(([^()]+)\)", r"[0-9a-fA-F]{32}\s+\*?(\S+)\s*$")]
     lines = spark.read.text(manifests).select(F.lower(F.regexp_extract("value", r"\b([0-9a-fA-F]{32})\b", 1)).alias("expected"), F.coalesce(*stated, F.regexp_replace(base(F.input_file_name()), r"\.md5$", "")).alias("name")).where("expected <> ''")
     return lines.join(actual, "name", "left").withColumn("ok", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
