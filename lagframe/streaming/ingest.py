@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagframe.sources.landed import PIECE
+
 #: Bytes of files that one lot takes in, about (a larger file is a lot of its own).
 LOT_BYTES = 64 << 30
 _LEDGER = "name string, path string, n long, batch long"
@@ -58,10 +62,31 @@ def ingest_new(
     return sum(taken)
 
 
+def _empty_tables(files: DataFrame) -> DataFrame:
+    """``path`` of the Parquet files that are whole and hold no row, of up to ``PIECE`` bytes: such a file is little but its footer."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    if pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata.num_rows == 0:
+                        found.append(path)
+                except (pa.ArrowException, OSError):  # no table
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    marks = F.expr("substring(content, 1, 4) = X'50415231' and substring(content, -4, 4) = X'50415231'")
+    return files.where(F.col("length") <= PIECE).where(marks).select("path", "content").mapInArrow(run, "path string")
+
+
 def set_aside(spark: SparkSession, source: str, checkpoint: str, **options) -> DataFrame:
-    """``path``, ``name``, ``length`` of the files in ``source`` that have been met and gave no row: broken or empty ones.
+    """``path``, ``name``, ``length``, ``empty`` of the files in ``source`` that have been met and gave no row.
 
-    Names only are compared; no file is opened. ``options`` are those of a file listing (``pathGlobFilter``, ``recursiveFileLookup``).
+    ``empty`` tells a whole Parquet file without rows from a broken file. Files are compared by name, and those of up to ``PIECE`` bytes are
+    read for it; a longer one isn't taken for empty. ``options`` are those of a file listing (``pathGlobFilter``, ``recursiveFileLookup``).
     """
-    landed = spark.read.format("binaryFile").options(**options).load(source).select("path", "length").withColumn("name", _name())
-    return landed.join(ledger(spark, checkpoint).select("name"), "name", "left_anti").select("path", "name", "length")
+    landed = spark.read.format("binaryFile").options(**options).load(source)
+    none = landed.select("path", "length").withColumn("name", _name()).join(ledger(spark, checkpoint).select("name"), "name", "left_anti")
+    empty = _empty_tables(landed).withColumn("empty", F.lit(True))
+    return none.join(empty, "path", "left").select("path", "name", "length", F.coalesce("empty", F.lit(False)).alias("empty"))

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from lagframe.operators import dedupe, joins
 from lagframe.plans.file_queries import _copy
+from lagframe.plans.queries import QUERIES, SQL
 from lagframe.sources import readers, writers
 from lagframe.streaming.ingest import ingest_new, ledger, set_aside
 
+from .compare import DATA, database, rows
+
 
 def test_a_name_counts_once(spark, tmp_path):
     source, target, mark = (f"file://{tmp_path}/{x}" for x in ("in", "out", "ledger"))
@@ -44,6 +47,27 @@ def test_a_broken_file_is_set_aside(spark, tmp_path):
     assert ingest_new(spark, source, target, mark, "id long") == 0
 
 
+def test_an_empty_table_is_not_broken(spark, tmp_path):
+    source, target, mark = (f"file://{tmp_path}/{x}" for x in ("in", "out", "ledger"))
+    spark.range(0, 6, 1, 2).where("id > 2").write.parquet(source)  # the first task has no rows, and writes a file
+    empty = next((tmp_path / "in").glob("part-00000*.parquet"))
+    (tmp_path / "in" / "part-cut.parquet").write_bytes(empty.read_bytes()[:-20] + b"PAR1")
+    (tmp_path / "in" / "part-text.parquet").write_text("PAR1")
+    assert ingest_new(spark, source, target, mark, "id long") == 3
+    assert {r.name: r.empty for r in set_aside(spark, source, mark).collect()} == {empty.name: True, "part-cut.parquet": False, "part-text.parquet": False}
+
+
+def test_ingest_by_name_where_the_first_task_has_no_rows(spark):
+    with_splits = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(with_splits)
+    spark.conf.set(with_splits, "8k")  # the only row group lies in a later split
+    try:
+        got = QUERIES["ingest_by_name"](spark, DATA).toPandas()
+    finally:
+        spark.conf.set(with_splits, before)
+    assert rows(got) == rows(database().sql(SQL["ingest_by_name"]).df())
+
+
 def test_a_killed_run_repeats_its_lot(spark, tmp_path):
     source, target, mark = (f"file://{tmp_path}/{x}" for x in ("in", "out", "ledger"))
     spark.range(5).coalesce(1).write.parquet(source)
