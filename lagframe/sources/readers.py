@@ -13,6 +13,9 @@ from .landed import WHOLE, md5_of_files
 #: Files of an article corpus.
 XML_FILES = "*{.nxml,.xml,.xml.gz}"
 
+#: Bytes of a plain file of articles that one task may read from end to end.
+WHOLE_XML = 128 << 20
+
 
 def _day(d: Column) -> Column:
     """``yyyy-MM-dd`` as far as the parts are there; month names are numbers."""
@@ -32,30 +35,44 @@ def mesh_text(headings: Column) -> Column:
     return F.nullif(F.array_join(F.transform(headings, one), "; "), F.lit(""))
 
 
-def _read_medline(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", "PubmedArticle").option("recursiveFileLookup", True).option("pathGlobFilter", XML_FILES)
-    return reader.schema(MEDLINE_SCHEMA).load(path)
-
+def _read_medline(spark: SparkSession, path: str | list[str], whole: int) -> DataFrame:
+    """A row for each ``PubmedArticle``, in the layout of :data:`~lagframe.schema.MEDLINE_SCHEMA`, with its ``file``.
 
-def read_mesh_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    Spark's XML source reads a file from end to end in one task. A plain file of more than ``whole`` bytes is therefore read as text that is cut
+    at the closing tags, which Spark splits over tasks. Such a file must be UTF-8, as MEDLINE's are (another one is an error), and
+    have no ``PubmedArticle`` tags in comments or CDATA; an article closed in its own opening tag gives no row there.
+    """
+    of = lambda form, **more: spark.read.format(form).options(recursiveFileLookup=True, pathGlobFilter=XML_FILES, **more)
+    long = (F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_name").endswith(".gz")
+    short = of("xml", rowTag="PubmedArticle").schema(MEDLINE_SCHEMA).load(path).where(~long).select("*", F.input_file_name().alias("file"))
+    text, tag = of("text", lineSep="</PubmedArticle").load(path).where(long), "<PubmedArticle"
+    other = F.col("value").contains("\0") | F.col("value").rlike(r"""^\W*<\?xml[^>]*encoding\s*=\s*["'](?!(?i:utf-8|us-ascii)["'])""")
+    value = F.when(other, F.raise_error(F.concat(F.lit("not UTF-8: "), F.input_file_name())).cast("string")).otherwise(F.col("value"))
+    cut = text.select(value.alias("value"), F.input_file_name().alias("file")).where(F.col("value").contains(tag)).select(F.substring_index("value", tag, -1).alias("rest"), "file")
+    xml = F.concat(F.lit(tag), "rest", F.lit("</PubmedArticle>"))
+    each = cut.where(F.col("rest").rlike(r"^(?:\s[^>]*)?(?<!/)>")).select(F.from_xml(xml, MEDLINE_SCHEMA).alias("a"), "file")
+    return short.unionByName(each.select("a.*", "file"))
+
+
+def read_mesh_xml(spark: SparkSession, path: str | list[str], whole: int = WHOLE_XML) -> DataFrame:
     """Subject headings of MEDLINE files in row form: ``pmid``, ``heading`` (place in the article, from 0), ``descriptor_code``,
     ``descriptor``, ``qualifier_code``, ``qualifier``, ``is_major``, ``file``; a row for each qualifier, and one with null for a heading without any.
 
     ``is_major`` is the qualifier's mark, or the descriptor's where there is no qualifier.
     """
     headings = F.posexplode(F.col("MedlineCitation.MeshHeadingList.MeshHeading")).alias("heading", "h")
-    one = _read_medline(spark, path).select(F.col("MedlineCitation.PMID").alias("pmid"), headings, F.input_file_name().alias("file"))
+    one = _read_medline(spark, path, whole).select(F.col("MedlineCitation.PMID").alias("pmid"), headings, "file")
     each = one.select("pmid", "heading", F.col("h.DescriptorName").alias("d"), F.explode_outer("h.QualifierName").alias("q"), "file")
     major = F.coalesce(F.when(F.col("q").isNotNull(), F.col("q._MajorTopicYN")).otherwise(F.col("d._MajorTopicYN")) == "Y", F.lit(False))
     return each.select("pmid", "heading", F.col("d._UI").alias("descriptor_code"), F.col("d._VALUE").alias("descriptor"), F.col("q._UI").alias("qualifier_code"), F.col("q._VALUE").alias("qualifier"), major.alias("is_major"), "file")
 
 
-def read_articles_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_articles_xml(spark: SparkSession, path: str | list[str], whole: int = WHOLE_XML) -> DataFrame:
     """MEDLINE files, one row for each article, in the layout of :data:`~lagframe.schema.RAW_ARTICLE_SCHEMA` with its file.
 
-    Folders are read recursively; gzip is read as it is, one task a file.
+    Folders are read recursively; plain files of more than ``whole`` bytes are split over tasks, gzip is read as it is, one task a file.
     """
-    df = _read_medline(spark, path)
+    df = _read_medline(spark, path, whole)
     cite, article, more = F.col("MedlineCitation"), F.col("MedlineCitation.Article"), F.col("PubmedData")
     dates = F.map_from_entries(F.filter(F.transform(more["History"]["PubMedPubDate"], lambda d: F.struct(d["_PubStatus"], _day(d))), lambda e: e["_PubStatus"].isin("received", "accepted", "pubmed", "medline", "entrez")))
     ids = F.filter(more["ArticleIdList"]["ArticleId"], lambda i: i["_IdType"] == "doi")
@@ -73,7 +90,7 @@ def read_articles_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.nullif(_day(F.try_element_at(article["ArticleDate"], F.lit(1))), F.lit("")).alias("article_date"),
         history.alias("history"),
         mesh_text(cite["MeshHeadingList"]["MeshHeading"]).alias("mesh_terms"),
-        F.input_file_name().alias("file"),
+        "file",
     )
 
 
