@@ -37,3 +37,33 @@ def test_subject_headings_of_a_long_file(spark, tmp_path, small_splits):
     long = readers.read_mesh_xml(spark, f"file://{tmp_path}", whole=1 << 10)
     assert sorted(map(repr, long.collect())) == sorted(map(repr, readers.read_mesh_xml(spark, f"file://{tmp_path}").collect()))
     assert long.count() == sum(i % 3 for i in range(N)) and largest_task(long) < N // 4
+
+
+def test_long_and_short_files_of_articles(spark, tmp_path, small_splits):
+    every = "".join(map(article, range(N)))
+    (tmp_path / "a.xml").write_text(HEAD + every + TAIL)
+    (tmp_path / "b.xml").write_text(HEAD + article(N) + TAIL)
+    (tmp_path / "c.xml").write_text((HEAD + every + TAIL).replace("\n", "\r\n").replace("</PubmedArticle>", "</PubmedArticle >"))
+    (tmp_path / "d.nxml").write_text("<a>" + "<b/>" * 5000 + "</a>")
+    with gzip.open(tmp_path / "e.xml.gz", "wt") as f:
+        f.write(HEAD + every + TAIL)
+    long = readers.read_articles_xml(spark, f"file://{tmp_path}", whole=1 << 13)
+    want = readers.read_articles_xml(spark, f"file://{tmp_path}")
+    assert long.schema == want.schema and long.count() == 3 * N + 1
+    assert sorted(map(repr, long.collect())) == sorted(map(repr, want.collect()))
+    assert largest_task(long.where(~F.col("file").endswith(".gz"))) < N // 4
+
+
+def test_articles_between_other_elements_of_a_long_file(spark, tmp_path, small_splits):
+    other = '<PubmedBookArticle><x/></PubmedBookArticle><PubmedArticle /><PubmedArticle/>'
+    (tmp_path / "a.xml").write_text(HEAD + "".join(article(i) + other for i in range(N)) + "<DeleteCitation><PMID>1</PMID></DeleteCitation>" + TAIL)
+    got = readers.read_articles_xml(spark, f"file://{tmp_path}", whole=1 << 10).select("doi", "title").collect()
+    assert sorted(map(tuple, got)) == sorted((f"10/{i}", f"T <i>{i}</i> <x> é") for i in range(N))
+
+
+@pytest.mark.parametrize("code", ["utf-16", "iso-8859-1"])
+def test_a_long_file_of_another_encoding_is_an_error(spark, tmp_path, code):
+    (tmp_path / "a.xml").write_bytes((HEAD.replace("utf-8", code) + "".join(map(article, range(N))) + TAIL).encode(code))
+    assert readers.read_articles_xml(spark, f"file://{tmp_path}").count() == N
+    with pytest.raises(Exception, match="not UTF-8"):
+        readers.read_articles_xml(spark, f"file://{tmp_path}", whole=1 << 10).collect()
