@@ -67,3 +67,17 @@ def test_a_long_file_of_another_encoding_is_an_error(spark, tmp_path, code):
     assert readers.read_articles_xml(spark, f"file://{tmp_path}").count() == N
     with pytest.raises(Exception, match="not UTF-8"):
         readers.read_articles_xml(spark, f"file://{tmp_path}", whole=1 << 10).collect()
+
+
+def test_a_long_file_as_spark_writes_it(spark, tmp_path, small_splits):
+    day = lambda status, d: F.struct(F.lit(status).alias("_PubStatus"), F.year(d).alias("Year"), F.month(d).alias("Month"), F.dayofmonth(d).alias("Day"))
+    d = F.date_add(F.lit("2019-01-01").cast("date"), F.col("id").cast("int"))
+    history = F.struct(F.array(day("received", d), day("accepted", F.date_add(d, 30))).alias("PubMedPubDate"))
+    ids = F.struct(F.array(F.struct(F.lit("doi").alias("_IdType"), F.concat(F.lit("10/<&>"), "id").alias("_VALUE"))).alias("ArticleId"))
+    articles = spark.range(N).coalesce(1).select(F.struct(F.col("id").alias("PMID")).alias("MedlineCitation"), F.struct(history.alias("History"), ids.alias("ArticleIdList")).alias("PubmedData"))
+    articles.write.format("xml").option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(f"file://{tmp_path}/x")
+    long = readers.read_articles_xml(spark, f"file://{tmp_path}/x", whole=1 << 10)
+    assert sorted(map(repr, long.collect())) == sorted(map(repr, readers.read_articles_xml(spark, f"file://{tmp_path}/x").collect()))
+    want = spark.range(N).select(F.concat(F.lit("10/<&>"), "id"), d.cast("string"), F.date_add(d, 30).cast("string"))
+    assert sorted(long.select("doi", "history.received", "history.accepted").collect()) == sorted(want.collect())
+    assert largest_task(long) < N // 4
