@@ -81,3 +81,15 @@ def test_a_long_file_as_spark_writes_it(spark, tmp_path, small_splits):
     want = spark.range(N).select(F.concat(F.lit("10/<&>"), "id"), d.cast("string"), F.date_add(d, 30).cast("string"))
     assert sorted(long.select("doi", "history.received", "history.accepted").collect()) == sorted(want.collect())
     assert largest_task(long) < N // 4
+
+
+def test_split_borders_at_every_byte_of_a_closing_tag(spark, tmp_path, small_splits):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    text = HEAD + "".join(map(article, range(4))) + TAIL
+    at, tag = len(text[: text.index("</PubmedArticle>")].encode()), len("</PubmedArticle>")
+    for k in range(-1, tag + 2):  # the first border is k bytes behind the tag's start
+        name = f"{k + 1}.xml"
+        (tmp_path / name).write_text(text.replace("<PubmedArticleSet>", f"<PubmedArticleSet><!--{'x' * (1024 - at - k - 7)}-->", 1))
+        assert (tmp_path / name).read_bytes()[1024 - k :].startswith(b"</PubmedArticle>")
+    got = readers.read_articles_xml(spark, f"file://{tmp_path}", whole=1 << 10).select(F.regexp_extract("file", r"(\d+)\.xml$", 1).cast("int"), "doi")
+    assert sorted(map(tuple, got.collect())) == sorted((f, f"10/{i}") for f in range(tag + 3) for i in range(4))
